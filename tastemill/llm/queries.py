@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tastemill.llm import exact_dedup, mixing, url_filter
+from tastemill.llm import exact_dedup, mixing, packing, token_counts, url_filter
 
 #: host, path, verdict; fixed by the contract.
 URL_RULES = [
@@ -18,6 +18,17 @@ URL_RULES = [
 ]
 
 
+#: Names of files among the public tokenizers; where they lie is asked of that package.
+WORD_TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,6 +37,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer(WORD_TOKENIZER), capacity=2048)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _tokenizer(BYTE_TOKENIZER), limit=512)
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.mix_plan(mixing.document_sizes(_table(spark, sf_dir, "documents")))
     return planned.select("doc_id", "size", "source_size", "target", "taken")
@@ -37,6 +56,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_pack_documents": op2_pack_documents,
+    "op4_token_counts": op4_token_counts,
     "op9_mix_sources": op9_mix_sources,
     "op10_url_filter": op10_url_filter,
 }
