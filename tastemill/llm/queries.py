@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tastemill.llm import exact_dedup, mixing, packing, token_counts, url_filter
+from tastemill.llm import exact_dedup, language_id, mixing, packing, token_counts, url_filter
 
 #: host, path, verdict; fixed by the contract.
 URL_RULES = [
@@ -41,6 +42,11 @@ def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer(WORD_TOKENIZER), capacity=2048)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.training_fold(F.col("doc_id"), 3) == 1)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _tokenizer(BYTE_TOKENIZER), limit=512)
 
@@ -57,6 +63,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pack_documents": op2_pack_documents,
+    "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
     "op9_mix_sources": op9_mix_sources,
     "op10_url_filter": op10_url_filter,
