@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.llm import exact_dedup, language_id, mixing, packing, ppm, token_counts, url_filter
+from tastemill.llm import exact_dedup, language_id, mixing, packing, ppm, token_counts, token_shards, url_filter
 
 #: host, path, verdict; fixed by the contract.
 URL_RULES = [
@@ -51,6 +51,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _tokenizer(BYTE_TOKENIZER), limit=512)
 
 
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_shards.write_shards(_table(spark, sf_dir, "documents"), _tokenizer(BYTE_TOKENIZER), key="training order")
+    return rows.drop("file")  # its folder has another name in every run
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(_table(spark, sf_dir, "documents"), language_id.training_fold(F.col("doc_id"), 7) == 2)
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack_documents": op2_pack_documents,
     "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
+    "op6_token_shards": op6_token_shards,
     "op7_lm_score": op7_lm_score,
     "op9_mix_sources": op9_mix_sources,
     "op10_url_filter": op10_url_filter,
