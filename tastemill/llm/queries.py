@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.llm import exact_dedup, language_id, mixing, packing, ppm, token_counts, token_shards, url_filter
+from tastemill.llm import exact_dedup, language_id, mixing, ngram_join, packing, ppm, token_counts, token_shards, url_filter
 
 #: host, path, verdict; fixed by the contract.
 URL_RULES = [
@@ -60,6 +60,11 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(_table(spark, sf_dir, "documents"), language_id.training_fold(F.col("doc_id"), 7) == 2)
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = ngram_join.near_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
+    return placed.select("doc_id", "n_shingles", "component_id")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.mix_plan(mixing.document_sizes(_table(spark, sf_dir, "documents")))
     return planned.select("doc_id", "size", "source_size", "target", "taken")
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op6_token_shards": op6_token_shards,
     "op7_lm_score": op7_lm_score,
+    "op8_ngram_join": op8_ngram_join,
     "op9_mix_sources": op9_mix_sources,
     "op10_url_filter": op10_url_filter,
 }
