@@ -56,11 +56,20 @@ def _named(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
 
 
-def mix_plan(sized: DataFrame, seed: str = "mix", max_broadcast_sources: int = 100_000, **targets) -> DataFrame:
-    """sized: (doc_id, source, size), read four times. One row a document: with source_size, target, epochs, part, taken."""
+def _keyed(sized: DataFrame, seed: str) -> DataFrame:
+    return sized.withColumn("src", _named(F.col("source"))).withColumn("key", document_key(F.col("doc_id"), seed))
+
+
+def mix_plan(sized: DataFrame, seed: str = "mix", **options) -> DataFrame:
+    """sized: (doc_id, source, size), a written table. One row a document: with source_size, target, epochs, part, taken."""
+    return mix_shares(sized, mix_cuts(sized, seed, **options), seed)
+
+
+def mix_cuts(sized: DataFrame, seed: str = "mix", max_broadcast_sources: int = 100_000, **targets) -> DataFrame:
+    """One row a source: its size, target, whole epochs, and the document, by (key, doc_id, size), where the rest ends."""
     rows = sized.count()
     ranges = min(65536, pow2_at_least(max(1, rows) / 256))
-    keyed = sized.withColumn("src", _named(F.col("source"))).withColumn("key", document_key(F.col("doc_id"), seed))
+    keyed = _keyed(sized, seed)
     keyed = keyed.withColumn("range", F.shiftright("key", KEY_BITS - (ranges.bit_length() - 1)))
     sums = written(keyed.groupBy("source", "src", "range").agg(F.sum("size").alias("range_size")), "mix-ranges")
     totals = sums.groupBy("source", "src").agg(F.sum("range_size").alias("source_size"))
@@ -82,7 +91,12 @@ def mix_plan(sized: DataFrame, seed: str = "mix", max_broadcast_sources: int = 1
     last = last.withColumn("end", F.col("range_start") + F.sum(F.col("size") * F.col("m")).over(order))
     left = F.col("rest") - (F.col("end") - F.col("size") * F.col("m"))
     cuts = last.where((F.col("end") > F.col("rest")) & (left >= 0)).select("src", place.alias("cut"), F.expr("(rest - (end - size * m)) div m").alias("cut_part"))
-    plan = written(aimed.join(small(cuts), "src", "left"), "mix-cuts")
+    return written(aimed.join(small(cuts), "src", "left"), "mix-cuts")
+
+
+def mix_shares(sized: DataFrame, plan: DataFrame, seed: str = "mix", max_broadcast_sources: int = 100_000) -> DataFrame:
+    """sized with each document's share of the mix. No document moves while the sources are few enough to broadcast."""
+    place = F.struct("key", "doc_id", "size")
     part = (
         F.when(F.col("rest") == 0, 0)
         .when(F.col("cut").isNull(), 0)
@@ -91,7 +105,8 @@ def mix_plan(sized: DataFrame, seed: str = "mix", max_broadcast_sources: int = 1
         .otherwise(0)
         .cast("long")
     )
-    chosen = keyed.join(small(plan), "src").withColumn("part", part)
+    few = plan.count() <= max_broadcast_sources
+    chosen = _keyed(sized, seed).join(F.broadcast(plan) if few else plan, "src").withColumn("part", part)
     return chosen.select(*sized.columns, "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
 
 
@@ -103,16 +118,16 @@ def document_sizes(docs: DataFrame) -> DataFrame:
     return written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
+def apply_mix(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     """The mixed corpus, with the columns of docs: a document that the mix takes k times whole has k rows.
 
     The document on a source's cut adds one row with its first words, as many as the budget still has;
     its n_chars, if there is such a column, follows."""
     names = docs.columns
     inner = {n: f"in_{n}" for n in names}  # no clash with the plan's columns
-    # sizes and decisions travel with the row: mix_plan joins small tables only
+    plan = mix_cuts(document_sizes(docs), seed, **options)
     sized = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.struct(*[F.col(n).alias(inner[n]) for n in names]).alias("row"))
-    planned = mix_plan(sized, **options)
+    planned = mix_shares(sized, plan, seed)
     whole = F.expr("array_repeat(-1L, cast(epochs + if(part = size and size > 0, 1, 0) as int))")
     cut = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.array(F.col("part"))).otherwise(F.expr("array()").cast("array<bigint>"))
     copies = planned.select("row", F.explode(F.concat(whole, cut)).alias("words"))

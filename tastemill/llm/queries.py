@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.llm import exact_dedup, language_id, mixing, ngram_join, packing, ppm, token_counts, token_shards, url_filter
+from tastemill.llm import exact_dedup, language_id, mixing, ngram_join, packing, ppm, quality_rules, token_counts, token_shards, url_filter
 
 #: host, path, verdict; fixed by the contract.
 URL_RULES = [
@@ -24,7 +24,7 @@ WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -39,7 +39,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer(WORD_TOKENIZER), capacity=2048)
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer(WORD_TOKENIZER), capacity=2048)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +48,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _tokenizer(BYTE_TOKENIZER), limit=512)
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer(BYTE_TOKENIZER), limit=512)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge_quality(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = token_shards.write_shards(_table(spark, sf_dir, "documents"), _tokenizer(BYTE_TOKENIZER), key="training order")
+    rows = token_shards.write_shards(_table(spark, sf_dir, "documents"), tokenizer(BYTE_TOKENIZER), key="training order")
     return rows.drop("file")  # its folder has another name in every run
 
 
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack_documents": op2_pack_documents,
     "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
+    "op5_quality_rules": op5_quality_rules,
     "op6_token_shards": op6_token_shards,
     "op7_lm_score": op7_lm_score,
     "op8_ngram_join": op8_ngram_join,
