@@ -128,7 +128,7 @@ def apply_mix(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     plan = mix_cuts(document_sizes(docs), seed, **options)
     sized = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.struct(*[F.col(n).alias(inner[n]) for n in names]).alias("row"))
     planned = mix_shares(sized, plan, seed)
-    whole = F.expr("array_repeat(-1L, cast(epochs + if(part = size and size > 0, 1, 0) as int))")
+    whole = F.expr("array_repeat(-1L, if(size > 0, cast(epochs + if(part = size, 1, 0) as int), 0))")
     cut = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.array(F.col("part"))).otherwise(F.expr("array()").cast("array<bigint>"))
     copies = planned.select("row", F.explode(F.concat(whole, cut)).alias("words"))
     out = copies.select("words", *[F.col(f"row.{inner[n]}").alias(n) for n in names])

@@ -18,8 +18,11 @@ An empty table gives an empty result and no files. Other columns are not read.""
 from __future__ import annotations
 
 import os
+import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +33,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.llm._common import ensure_importable, new_path, written
-from tastemill.llm.token_counts import SPACE
+from tastemill.llm.packing import LATIN_END, MARKS
+from tastemill.llm.token_counts import SPACE, byte_letters
 
 ROUNDS = 6
 
@@ -82,28 +86,57 @@ class ChunkEncoder(dict):
 
     No token of byte-level BPE crosses a chunk's border, so the chunks' ids joined are the text's."""
 
-    MOST = 300_000
+    MOST = 700_000
 
     def __init__(self, path: str, width: int):
-        import re
-
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind = Tokenizer.from_file(path), f"<u{width}"
+        self.tokenizer, self.kind = Tokenizer.from_file(path), {2: "H", 4: "I"}[width]
+        if array(self.kind).itemsize != width or sys.byteorder != "little":
+            raise RuntimeError("little-endian arrays of the wanted width are needed")
         self.chunk_re = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
+        for w in (" the", "the", " \u00fcber", " ni\u00f1o,"):
+            if self._direct(w.rstrip(",")) + (self._direct(",") if w.endswith(",") else b"") != self._whole(w):
+                raise ValueError("the tokenizer does not cut words as this encoder expects")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [None if any(s in t for s in self.special) else self.chunk_re.findall(t) for t in texts]
+    def _whole(self, text: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _direct(self, piece: str) -> bytes:
+        """Of one piece: the merges alone, on the bytes' letters."""
+        return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def learn(self, chunks: set[str]) -> None:
+        """Chunks of a blank or none, Latin letters, and at most one mark are a piece or two; others go
+        through all of the tokenizer."""
         if len(self) > self.MOST:
             self.clear()
-        new = [c for c in set().union(*[c for c in chunks if c]) if c not in self]
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[c] = np.array(e.ids, dtype=self.kind).tobytes()
-        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-        return [whole(t) if c is None else b"".join(map(self.__getitem__, c)) for t, c in zip(texts, chunks)]
+        other = []
+        for c in chunks:
+            if c in self:
+                continue
+            stem, mark = (c[:-1], c[-1]) if c[-1] in MARKS else (c, "")
+            letters = stem[1:] if stem[:1] == " " else stem
+            if not letters.isalpha() or max(letters) >= LATIN_END:
+                other.append(c)
+                continue
+            if stem not in self:
+                self[stem] = self._direct(stem)
+            if mark:
+                if mark not in self:
+                    self[mark] = self._direct(mark)
+                self[c] = self[stem] + self[mark]
+        for c, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            self[c] = array(self.kind, e.ids).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        chunks = [None if any(s in t for s in self.special) else self.chunk_re.findall(t) for t in texts]
+        self.learn(set().union(*[c for c in chunks if c]))
+        return [self._whole(t) if c is None else b"".join(map(self.__getitem__, c)) for t, c in zip(texts, chunks)]
 
 
 _encoders: dict[tuple[str, int], ChunkEncoder] = {}
