@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,16 +21,20 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
-    Only where the setting is absent (local tests) a folder of this machine is chosen and set."""
+    Only where the setting is absent and all runs in one process (local tests) a temporary folder serves."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tastemill-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own_dir(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 
+@lru_cache(None)
+def _own_dir(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tastemill-")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
