@@ -27,7 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = _own_dir(spark.sparkContext.applicationId)
-    return found.rstrip("/")
+    if ":/" not in found:  # on the cluster's default file system
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "file:///", found).rstrip("/")
 
 
 @lru_cache(None)
