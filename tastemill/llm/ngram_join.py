@@ -3,11 +3,12 @@
 Exact, by a blocked sparse matrix product of the document by n-gram incidence:
 
 1. A document's row is its set of n-grams (64-bit hashes). Equal rows are one class.
-2. Two sets of Jaccard similarity t or more overlap in t times the larger one. So, in any order of all n-grams
-   that all rows share, both have a common n-gram among their first size - ceil(t * size) + 1. The order
-   puts heavy n-grams (those with a millionth of the counts of some part of the corpus) last, so passages that
-   many documents share do not make candidates. Only columns that two classes have in these prefixes remain.
-3. Classes that such columns connect form candidate clusters; no other pair can link.
+2. Two rows of Jaccard similarity t or more differ in at most (1 - t) / (1 + t) times the sum of their sizes. So
+   when the columns are cut, by hash, into more blocks than that, the rows agree entirely on some block. Rows give
+   one signature for each block that they have columns in; the number of blocks follows from the size (SizeClasses).
+   A block has about five columns of a row, so passages or common n-grams that documents share do not make
+   them agree on a block; near copies do.
+3. Classes that agree on a block are connected and form candidate clusters; no other pair can link.
 4. Inside a cluster the product of incidence blocks is accumulated column block by column block; tiles whose
    sizes exclude a link are skipped, and pairs below the bound are discarded. A block returns a spanning
    forest of its links, never its pairs.
@@ -17,8 +18,7 @@ Exact, by a blocked sparse matrix product of the document by n-gram incidence:
    the rows of a large cluster do not link, all its chunks meet: exact, and the price is named here.
 6. The links' connected components are found by stars (components.py).
 
-Bounds: heavy n-grams are at most 1 / heavy_share, whatever the corpus; that table alone is broadcast without
-a look at its size. A task holds one block.
+Bounds: nothing is broadcast but after a count of its rows; otherwise the join is shuffled. A task holds one block.
 
 Defined cases: null or wordless text: an empty set, linked with nothing, its component is its own id. Fewer words
 than n: the whole sequence is the one n-gram. Repeated rows and ids are handled row by row; a component's name is
@@ -31,16 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastemill.llm._common import ensure_importable, written
 from tastemill.llm.components import components
-from tastemill.llm.ppm import blocks, counted, lower_binary, summed
+from tastemill.llm.ppm import blocks, lower_binary
 
 #: Odd multipliers, one for each word of an n-gram; any would do.
 MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
-PART = 4_000_000  # n-grams of a part of the corpus, for heavy ones
 TILE = 256
 COLUMNS = 4096
 
@@ -81,64 +80,88 @@ def _batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Rec
             yield part, shingle_sets(part.column("text").to_pylist(), n)
 
 
-def heavy_shingles(rows: DataFrame, n: int, share: float) -> np.ndarray:
-    """Heavy n-grams, the rarest first: at most 1 / share of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, total = [], 0, 0
-
-        def close() -> pa.RecordBatch:
-            keys, c = counted(np.concatenate(held))
-            heavy = c >= max(2, size * share)
-            return pa.RecordBatch.from_arrays([pa.array(keys[heavy]), pa.array(c[heavy]), pa.array(np.full(int(heavy.sum()), size))], ["key", "n", "size"])
-
-        for _, sets in _batches(batches, n):
-            held += sets
-            size += sum(map(len, sets))
-            if size >= PART:
-                yield close()
-                held, size = [], 0
-        if size:
-            yield close()
-
-    found = rows.select("text").mapInArrow(run, "key long, n long, size long")
-    sums = written(found.groupBy("key").agg(F.sum("n").alias("n")), "heavy-ngrams")
-    total = sums.agg(F.sum("n")).first()[0] or 0  # of the heavy ones alone: a lower bar than that of all
-    kept = sums.where(F.col("n") >= total * share).toArrow()
-    keys, c = kept["key"].to_numpy(), kept["n"].to_numpy()
-    return keys[np.lexsort((keys, c))]
-
-
-def prefix_rows(rows: DataFrame, n: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, key (of the set), size, prefix."""
+class SizeClasses:
+    """Sizes in classes 40 % wide, and into how many column blocks each class cuts the columns.
+
+    A linked pair of sizes a <= b differs in at most (a + b)(100 - p) / (100 + p) columns, and b <= 100 a / p. The
+    class of a has `blocks` blocks: more than that number for its largest a, by 1 + slack."""
+
+    def __init__(self, percent: int, most: int = 1 << 40):
+        self.percent, edges = percent, [1]
+        while edges[-1] < most:
+            edges.append(max(edges[-1] + 1, -(-edges[-1] * 14 // 10)))
+        self.edges = np.array(edges, np.int64)
+        differ = (self.edges[1:] - 1) * (100 - percent) // percent
+        self.slack = 2 + differ // 20
+        self.blocks = differ + 1 + self.slack
+
+    def of(self, size: int) -> range:
+        """The classes in which a row of this size meets its partners: of its smallest partner's size to its own."""
+        low = -(-size * self.percent // 100)
+        at = np.searchsorted(self.edges, [low, size], "right") - 1
+        return range(int(at[0]), int(at[1]) + 1)
+
+    def signatures(self, s: np.ndarray) -> np.ndarray:
+        """Hashes of (class, block, the row's columns in the block), of all blocks in which the row has columns.
+
+        Of the pair's blocks at least 1 + slack are equal; unless both rows have more than slack empty blocks,
+        one of these has columns. Rows with so many empty blocks also give the columns of their prefix, of which
+        two linked rows have one in common."""
+        u, out = _mix(s.view(np.uint64)), []
+        for c in self.of(len(s)):
+            k = int(self.blocks[c])
+            block = ((u >> np.uint64(20)) % np.uint64(k)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            ordered = block[order]
+            first = np.flatnonzero(np.concatenate([np.ones(1, bool), ordered[1:] != ordered[:-1]]))
+            total = np.add.reduceat(u[order], first)
+            count = np.diff(np.append(first, len(s))).astype(np.uint64)
+            tag = np.uint64((c + 1) * 0xD6E8FEB86659FD93 % (1 << 64))
+            out.append(_mix(_mix(total + count) ^ _mix(ordered[first].astype(np.uint64) + tag)))
+            if k - len(first) > self.slack[c]:
+                want = len(s) - (self.percent * len(s) + 99) // 100 + 1
+                out.append(_mix((u[:want] ^ tag) + np.uint64(3)))
+        return np.concatenate(out).view(np.int64)
+
+
+def _key(s: np.ndarray) -> str:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest()
+
+
+def class_number() -> Column:
+    """A class's number, from its key: 60 bits, for candidates only."""
+    return F.conv(F.substring("key", 1, 15), 16, 10).cast("long")
+
+
+def signature_rows(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, key (of the set), size, signatures."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    shared = rows.sparkSession.sparkContext.broadcast((np.sort(heavy), np.argsort(heavy)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = shared.value
+        classes = SizeClasses(percent)
         for part, sets in _batches(batches, n):
-            keys, sizes, prefixes = [], [], []
-            for s in sets:
-                size = len(s)
-                sizes.append(size)
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if size else None)
-                want = size - (percent * size + 99) // 100 + 1 if size else 0
-                if len(known) and size:
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    is_heavy = known[at] == s
-                    p = s[~is_heavy][:want]
-                    if len(p) < want:
-                        h = s[is_heavy]
-                        p = np.concatenate([p, h[np.argsort(rank[at[is_heavy]])][: want - len(p)]])
-                else:
-                    p = s[:want]
-                prefixes.append(p)
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
+            keys = [_key(s) if len(s) else None for s in sets]
+            found = [classes.signatures(s) if len(s) else s for s in sets]
+            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), lists], ["doc_id", "text_hash", "key", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(keys, pa.string()), pa.array([len(s) for s in sets], pa.int64()), lists], ["doc_id", "text_hash", "key", "size", "signatures"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, key string, size long, signatures array<long>")
 
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, key string, size long, prefix array<long>")
+
+def candidate_edges(each: DataFrame) -> DataFrame:
+    """(u, v): classes that agree on a column block, each tied to the block's smallest class."""
+    own = each.where("size > 0").select(class_number().alias("cls"), "signatures")
+    often = written(own.groupBy("cls").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("cls"), "copied-classes")
+    side = _small(often)
+    # one row of each class: only the rows of classes that have copies are shuffled
+    once = own.join(side, "cls", "left_anti").unionByName(own.join(side, "cls", "left_semi").dropDuplicates(["cls"]))
+    incidence = once.select("cls", F.explode("signatures").alias("sig"))
+    shared = written(incidence.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig"), "shared-blocks")
+    found = written(incidence.join(_small(shared), "sig"), "block-members")
+    heads = written(found.groupBy("sig").agg(F.min("cls").alias("v")), "block-heads")
+    return found.join(heads, "sig").where("cls <> v").select(F.col("cls").alias("u"), "v")
 
 
 def links_in(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -218,48 +241,45 @@ def block_links(members: DataFrame, percent: int) -> DataFrame:
     return members.select("block", "cluster", "cls", "label", "is_left", "grams").groupBy("block").applyInArrow(run, "u long, v long")
 
 
-def _small(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+def _small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     """df to be broadcast if a count shows that it has few rows; else left to a shuffled join."""
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
-def near_components(docs: DataFrame, n: int = 4, percent: int = 85, heavy_share: float = 1e-6, block_rows: int = 1000, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, n: int = 4, percent: int = 85, block_rows: int = 1000, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, text_hash, n_shingles, component_id."""
     ensure_importable(docs.sparkSession)
     if not 0 < n <= len(MULTIPLIERS):
         raise ValueError(f"n is from 1 to {len(MULTIPLIERS)}")
     text = lower_binary(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), text.alias("text"))
-    heavy = heavy_shingles(rows, n, heavy_share)
-    each = written(prefix_rows(rows, n, percent, heavy), "ngram-rows")
-    classes = each.where("size > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "ngram-classes")  # written once, so the numbers stay
-    incidence = classes.select("cls", F.explode("prefix").alias("gram"))
-    shared = written(incidence.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("v")).where("n > 1").select("gram", "v"), "shared-ngrams")
-    candidates = incidence.join(_small(shared), "gram").where("cls <> v").select(F.col("cls").alias("u"), "v")
-    clusters = written(components(candidates), "clusters").select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
-    links = _cluster_links(rows, classes, clusters, n, percent, block_rows, block_bytes)
+    each = written(signature_rows(rows, n, percent), "ngram-rows")
+    clusters = written(components(candidate_edges(each)), "clusters").select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
+    bare = each.where("size = 0").select("doc_id", "text_hash", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    each = each.where("size > 0").select("doc_id", "text_hash", "key", "size")
+    classes = written(each.groupBy("key").agg(F.min("doc_id").alias("first_id")).withColumn("cls", F.monotonically_increasing_id()), "ngram-classes")
+    clusters = classes.withColumn("number", class_number()).join(_small(clusters.withColumnRenamed("cls", "number")), "number").select("cls", "key", "first_id", "cluster")
+    links = _cluster_links(rows, clusters, n, percent, block_rows, block_bytes)
     found = written(components(links), "components")
     named = found.join(classes.select(F.col("cls").alias("node"), "first_id"), "node")
     names = written(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "component-names")
     of_class = found.join(names, "component").select(F.col("node").alias("cls"), "component_id")
     labels = written(classes.join(of_class, "cls", "left").select("key", F.coalesce("component_id", "first_id").alias("component_id")), "class-components")
-    bare = each.where("size = 0").select("doc_id", "text_hash", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     # two written tables: the partition of a class with very many copies is split at run time
-    full = each.where("size > 0").select("doc_id", "text_hash", "key", "size").join(labels, "key")
+    full = each.join(labels, "key")
     return full.select("doc_id", "text_hash", F.col("size").alias("n_shingles"), "component_id").unionByName(bare)
 
 
-def _cluster_links(rows: DataFrame, classes: DataFrame, clusters: DataFrame, n: int, percent: int, block_rows: int, block_bytes: int) -> DataFrame:
+def _cluster_links(rows: DataFrame, clusters: DataFrame, n: int, percent: int, block_rows: int, block_bytes: int) -> DataFrame:
     """All links inside candidate clusters, by spanning forests."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found in _batches(batches, n):
             found = [s for s in found if len(s)]
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in found]
+            keys = [_key(s) for s in found]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([s.tobytes() for s in found], pa.binary())], ["key", "grams"])
 
-    wanted = written(clusters.join(classes.select("cls", "key", "first_id"), "cls"), "candidates")
+    wanted = written(clusters, "candidates")
     ids = wanted.select(F.col("first_id").alias("doc_id")).distinct()
     # the whole set is made again for candidates alone; an id that occurs with other texts is sorted out by the key
     again = rows.join(_small(ids), rows["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
