@@ -41,6 +41,7 @@ from tastemill.llm.ppm import blocks, lower_binary
 #: Odd multipliers, one for each word of an n-gram; any would do.
 MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 TILE = 256
+LEAST = 2  # columns; thinner blocks are left out, as single frequent n-grams would connect everything
 COLUMNS = 4096
 
 
@@ -81,7 +82,7 @@ def _batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Rec
 
 
 class SizeClasses:
-    """Sizes in classes 40 % wide, and into how many column blocks each class cuts the columns.
+    """Sizes in classes 25 % wide, and into how many column blocks each class cuts the columns.
 
     A linked pair of sizes a <= b differs in at most (a + b)(100 - p) / (100 + p) columns, and b <= 100 a / p. The
     class of a has `blocks` blocks: more than that number for its largest a, by 1 + slack."""
@@ -89,10 +90,10 @@ class SizeClasses:
     def __init__(self, percent: int, most: int = 1 << 40):
         self.percent, edges = percent, [1]
         while edges[-1] < most:
-            edges.append(max(edges[-1] + 1, -(-edges[-1] * 14 // 10)))
+            edges.append(max(edges[-1] + 1, -(-edges[-1] * 5 // 4)))
         self.edges = np.array(edges, np.int64)
         differ = (self.edges[1:] - 1) * (100 - percent) // percent
-        self.slack = 2 + differ // 20
+        self.slack = 2 + differ // 9
         self.blocks = differ + 1 + self.slack
 
     def of(self, size: int) -> range:
@@ -102,11 +103,11 @@ class SizeClasses:
         return range(int(at[0]), int(at[1]) + 1)
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
-        """Hashes of (class, block, the row's columns in the block), of all blocks in which the row has columns.
+        """Hashes of (class, block, the row's columns in the block), of all blocks with LEAST columns or more.
 
-        Of the pair's blocks at least 1 + slack are equal; unless both rows have more than slack empty blocks,
-        one of these has columns. Rows with so many empty blocks also give the columns of their prefix, of which
-        two linked rows have one in common."""
+        Of the pair's blocks at least 1 + slack are equal; unless both rows have more than slack blocks with fewer
+        columns, one of these has as many. Rows with so many thin blocks also give the columns of their prefix, of
+        which two linked rows have one in common."""
         u, out = _mix(s.view(np.uint64)), []
         for c in self.of(len(s)):
             k = int(self.blocks[c])
@@ -116,9 +117,10 @@ class SizeClasses:
             first = np.flatnonzero(np.concatenate([np.ones(1, bool), ordered[1:] != ordered[:-1]]))
             total = np.add.reduceat(u[order], first)
             count = np.diff(np.append(first, len(s))).astype(np.uint64)
+            solid = count >= LEAST
             tag = np.uint64((c + 1) * 0xD6E8FEB86659FD93 % (1 << 64))
-            out.append(_mix(_mix(total + count) ^ _mix(ordered[first].astype(np.uint64) + tag)))
-            if k - len(first) > self.slack[c]:
+            out.append(_mix(_mix(total + count) ^ _mix(ordered[first].astype(np.uint64) + tag))[solid])
+            if k - int(solid.sum()) > self.slack[c]:
                 want = len(s) - (self.percent * len(s) + 99) // 100 + 1
                 out.append(_mix((u[:want] ^ tag) + np.uint64(3)))
         return np.concatenate(out).view(np.int64)
