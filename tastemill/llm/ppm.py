@@ -40,8 +40,10 @@ from tastemill.llm._common import ensure_importable, new_path, written
 ORDER = 5
 SYMBOL_BITS = 9  # a byte, or 256 for the end
 END = 256
-BLOCK = 1 << 20  # bytes that are looked at together
-HELD = 64 << 20  # bytes of text that are held while slices pass
+BLOCK = 1 << 18  # bytes that are looked at together
+MERGED = 1_000_000  # new keys after which a task's counts are summed
+FLUSHED = 3_000_000  # different keys after which they go to the shuffle
+HELD = 24 << 20  # bytes of text that are held while slices pass
 END_WORD = np.uint64(1)
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
@@ -142,13 +144,17 @@ def corpus_counts(train: DataFrame) -> DataFrame:
     ensure_importable(train.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie_slice.cache_clear()  # of an earlier model
+        word_slice.cache_clear()
         found: list[list] = [[], []]
+        fresh = [0, 0]
 
         def add(kind: int, keys: np.ndarray) -> None:
             if len(keys):
                 found[kind].append(counted(keys))
-            if sum(len(k) for k, _ in found[kind][1:]) > max(4_000_000, len(found[kind][0][0]) if found[kind] else 0):
-                found[kind] = [summed(found[kind])]
+                fresh[kind] += len(found[kind][-1][0])
+            if fresh[kind] > MERGED:
+                found[kind], fresh[kind] = [summed(found[kind])], 0
 
         def flush(kind: int) -> Iterator[pa.RecordBatch]:
             if found[kind]:
@@ -156,16 +162,15 @@ def corpus_counts(train: DataFrame) -> DataFrame:
                 for at in range(0, len(keys), 100_000):
                     k = keys[at : at + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[at : at + 100_000])], ["kind", "key", "n"])
-                found[kind] = []
-
-        for b in batches:
-            for block in blocks(b.column("text").to_pylist()):
-                _, context, symbol = block.keys()
-                add(0, (context << SYMBOL_BITS) | symbol)
-                add(1, np.concatenate([block.words()[1], np.full(int(block.final.sum()), END_WORD)]))
-                for kind in (0, 1):
-                    if found[kind] and sum(len(k) for k, _ in found[kind]) > 12_000_000:  # bounded memory; the sums go on in the shuffle
-                        yield from flush(kind)
+                found[kind], fresh[kind] = [], 0
+
+        for block in (block for b in batches for at in range(0, b.num_rows, 500) for block in blocks(b.column("text").slice(at, 500).to_pylist())):
+            _, context, symbol = block.keys()
+            add(0, (context << SYMBOL_BITS) | symbol)
+            add(1, np.concatenate([block.words()[1], np.full(int(block.final.sum()), END_WORD)]))
+            for kind in (0, 1):
+                if found[kind] and sum(len(k) for k, _ in found[kind]) > FLUSHED:  # bounded memory; the sums go on in the shuffle
+                    yield from flush(kind)
         yield from flush(0)
         yield from flush(1)
 
@@ -173,7 +178,7 @@ def corpus_counts(train: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def build_model(train: DataFrame, slice_nodes: int = 8_000_000) -> dict:
+def build_model(train: DataFrame, slice_nodes: int = 2_000_000) -> dict:
     """Counts all training rows and writes the slices. What it returns fits in a closure: paths and totals."""
     spark = train.sparkSession
     counts = written(corpus_counts(train), "ppm-counts")
@@ -258,7 +263,10 @@ def _read(path: str, columns: list[str], slices: list[int]) -> list[np.ndarray]:
             t = pa.dataset.dataset(folder, filesystem=files, format="parquet").to_table(columns=columns)
             for p, c in zip(parts, columns):
                 p.append(t[c].to_numpy())
-    return [np.concatenate(p) if p else np.zeros(0, np.int64 if c == "id" else np.float64) for p, c in zip(parts, columns)]
+    out = [np.concatenate(p) if p else np.zeros(0, np.int64 if c == "id" else np.float64) for p, c in zip(parts, columns)]
+    del parts
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 @lru_cache(1)
