@@ -223,8 +223,8 @@ def links_in(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, percen
     return forest
 
 
-def block_links(members: DataFrame, percent: int) -> DataFrame:
-    """members: (block, cluster, cls, label, is_left, grams). Links (u, v), of each block and cluster a spanning forest."""
+def block_links(members: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """members: (block, cluster, cls, label, is_left), grams: (cls, grams). Links (u, v), of each block and cluster a spanning forest."""
     ensure_importable(members.sparkSession)
 
     def run(t: pa.Table) -> pa.Table:
@@ -240,7 +240,8 @@ def block_links(members: DataFrame, percent: int) -> DataFrame:
                     v.append(cls[own[j]])
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return members.select("block", "cluster", "cls", "label", "is_left", "grams").groupBy("block").applyInArrow(run, "u long, v long")
+    members = written(members.select("block", "cluster", "cls", "label", "is_left"), "blocks")
+    return grams.select("cls", "grams").join(_small(members), "cls").groupBy("block").applyInArrow(run, "u long, v long")
 
 
 def _small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
@@ -289,20 +290,20 @@ def _cluster_links(rows: DataFrame, clusters: DataFrame, n: int, percent: int, b
     members = written(grams.select("cluster", "cls", "grams", F.octet_length("grams").alias("bytes")), "candidate-sets")
     sizes = written(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("all_bytes")), "cluster-sizes")
     parts = F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("all_bytes") / block_bytes)).cast("long")
-    sized = members.join(_small(sizes.withColumn("parts", parts)), "cluster")
+    sized = members.select("cluster", "cls").join(_small(sizes.withColumn("parts", parts)), "cluster")
     total = sizes.agg(F.sum("all_bytes"), F.max(parts)).first()
     groups = max(1, -(-(total[0] or 0) // block_bytes))
     chunk = F.pmod(F.xxhash64("cls"), F.col("parts"))
     small_block = F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(groups)))
     own = F.when(F.col("parts") == 1, small_block).otherwise(F.concat_ws("-", F.lit("c"), "cluster", chunk))
-    alone = sized.select(own.alias("block"), "cluster", "cls", F.col("cls").alias("label"), F.lit(True).alias("is_left"), "grams")
-    links = written(block_links(alone, percent), "links")
+    alone = sized.select(own.alias("block"), "cluster", "cls", F.col("cls").alias("label"), F.lit(True).alias("is_left"))
+    links = written(block_links(alone, members, percent), "links")
     if (total[1] or 0) <= 1:
         return links
     large = written(sized.where("parts > 1").withColumn("chunk", chunk), "large-clusters")
-    links = links.unionByName(_pivot_links(large, links, percent, block_rows))
+    links = links.unionByName(_pivot_links(large, members, links, percent, block_rows))
     links = written(links, "links")
-    return links.unionByName(_outside_links(large, links, percent, block_rows))
+    return links.unionByName(_outside_links(large, members, links, percent, block_rows))
 
 
 def _labelled(large: DataFrame, links: DataFrame) -> DataFrame:
@@ -311,19 +312,19 @@ def _labelled(large: DataFrame, links: DataFrame) -> DataFrame:
     return written(large.join(_small(label), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
 
 
-def _pivot_links(large: DataFrame, links: DataFrame, percent: int, block_rows: int) -> DataFrame:
+def _pivot_links(large: DataFrame, grams: DataFrame, links: DataFrame, percent: int, block_rows: int) -> DataFrame:
     """One row of each component with half a block or more, against every chunk of its cluster."""
     now = _labelled(large, links)
     count = now.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("cls")).where(F.col("n") >= block_rows // 2)
     pivots = now.join(_small(count.select("cls")), "cls", "left_semi")
-    pivots = pivots.select("cluster", "cls", "label", "grams", "parts", F.col("chunk").alias("home")).withColumn("chunk", F.explode(F.expr("sequence(0L, parts - 1)"))).where("chunk <> home")
+    pivots = pivots.select("cluster", "cls", "label", "parts", F.col("chunk").alias("home")).withColumn("chunk", F.explode(F.expr("sequence(0L, parts - 1)"))).where("chunk <> home")
     block = F.concat_ws("-", F.lit("p"), "cluster", "chunk")
-    columns = ["cluster", "cls", "label", "grams"]
+    columns = ["cluster", "cls", "label"]
     chunks = now.select(block.alias("block"), *columns, F.lit(False).alias("is_left"))
-    return block_links(chunks.unionByName(pivots.select(block.alias("block"), *columns, F.lit(True).alias("is_left"))), percent)
+    return block_links(chunks.unionByName(pivots.select(block.alias("block"), *columns, F.lit(True).alias("is_left"))), grams, percent)
 
 
-def _outside_links(large: DataFrame, links: DataFrame, percent: int, block_rows: int) -> DataFrame:
+def _outside_links(large: DataFrame, grams: DataFrame, links: DataFrame, percent: int, block_rows: int) -> DataFrame:
     """Rows outside their cluster's largest component, in groups, against all other groups and that component's chunks."""
     now = _labelled(large, links)
     count = now.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -332,12 +333,12 @@ def _outside_links(large: DataFrame, links: DataFrame, percent: int, block_rows:
     now = now.join(_small(main), "cluster")
     outside = now.where("label <> main").withColumn("g", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("groups")))
     inside = now.where("label = main")
-    columns = ["cluster", "cls", "label", "grams"]
+    columns = ["cluster", "cls", "label"]
     # group i of the outside is left in blocks (i, chunk of the inside) and (i, group j >= i)
     one = inside.withColumn("i", F.explode(F.expr("sequence(0L, groups - 1)"))).select(F.concat_ws("-", F.lit("i"), "cluster", "i", "chunk").alias("block"), *columns, F.lit(False).alias("is_left"))
     two = outside.withColumn("chunk", F.explode(F.expr("sequence(0L, parts - 1)"))).select(F.concat_ws("-", F.lit("i"), "cluster", "g", "chunk").alias("block"), *columns, F.lit(True).alias("is_left"))
     three = outside.withColumn("j", F.explode(F.expr("sequence(0L, groups - 1)"))).select(F.concat_ws("-", F.lit("o"), "cluster", F.least("g", "j"), F.greatest("g", "j")).alias("block"), *columns, F.lit(True).alias("is_left"))
-    return block_links(one.unionByName(two).unionByName(three), percent)
+    return block_links(one.unionByName(two).unionByName(three), grams, percent)
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, **options) -> DataFrame:
