@@ -41,7 +41,6 @@ from tastemill.llm.ppm import blocks, lower_binary
 #: Odd multipliers, one for each word of an n-gram; any would do.
 MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 TILE = 256
-LEAST = 2  # columns; thinner blocks are left out, as single frequent n-grams would connect everything
 COLUMNS = 4096
 
 
@@ -93,7 +92,10 @@ class SizeClasses:
             edges.append(max(edges[-1] + 1, -(-edges[-1] * 5 // 4)))
         self.edges = np.array(edges, np.int64)
         differ = (self.edges[1:] - 1) * (100 - percent) // percent
-        self.slack = 2 + differ // 9
+        # Thinner blocks than two columns are left out where blocks have more than five columns of a row; where they
+        # have fewer, too many rows would be left to their prefixes, so blocks with one column stay.
+        self.least, part = (2, 9) if percent >= 85 else (1, 20)
+        self.slack = 2 + differ // part
         self.blocks = differ + 1 + self.slack
 
     def of(self, size: int) -> range:
@@ -103,7 +105,7 @@ class SizeClasses:
         return range(int(at[0]), int(at[1]) + 1)
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
-        """Hashes of (class, block, the row's columns in the block), of all blocks with LEAST columns or more.
+        """Hashes of (class, block, the row's columns in the block), of all blocks with `least` columns or more.
 
         Of the pair's blocks at least 1 + slack are equal; unless both rows have more than slack blocks with fewer
         columns, one of these has as many. Rows with so many thin blocks also give the columns of their prefix, of
@@ -117,7 +119,7 @@ class SizeClasses:
             first = np.flatnonzero(np.concatenate([np.ones(1, bool), ordered[1:] != ordered[:-1]]))
             total = np.add.reduceat(u[order], first)
             count = np.diff(np.append(first, len(s))).astype(np.uint64)
-            solid = count >= LEAST
+            solid = count >= self.least
             tag = np.uint64((c + 1) * 0xD6E8FEB86659FD93 % (1 << 64))
             out.append(_mix(_mix(total + count) ^ _mix(ordered[first].astype(np.uint64) + tag))[solid])
             if k - int(solid.sum()) > self.slack[c]:
