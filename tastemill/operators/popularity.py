@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ def numbered_items(items: DataFrame) -> DataFrame:
     return items.select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("number"))
 
 
-def draw_number(user: str, draw: str, n: int, seed: int):
+def draw_number(user: str, draw: str, n: int, seed: int | str):
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(user), F.col(draw))), 1, 8), 16, 10).cast("long") % n
 
 
@@ -65,9 +67,46 @@ def random_items(users: DataFrame, items: DataFrame, k: int, seed: int = 42, dra
     return ranked.join(numbers, "number").select("user_id", "rank", "item_id", F.lit(1.0 / k).alias("score"))
 
 
-def negatives(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """Random items that the user has not interacted with."""
-    return random_items(users, items, k, seed).join(seen.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti").select("user_id", "item_id")
+def first_draws(users: DataFrame, n: int, draws: int, seed: int) -> DataFrame:
+    """user_id, number, draw: the different numbers below n that so many hash draws give a user, and where each came first."""
+    drawn = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("number", draw_number("user_id", "draw", n, seed))
+    return drawn.groupBy("user_id", "number").agg(F.min("draw").cast("long").alias("draw"))
+
+
+def shuffled_numbers(users: DataFrame, n: int, seed: int) -> DataFrame:
+    """users (user_id, size): user_id, number, position of at least min(size, n) different numbers below n, in an order of each user's own.
+
+    The order is a Feistel permutation of a grid of a * b >= n cells; fewer than b of its positions fall outside and are passed over."""
+    b = math.isqrt(n - 1) + 1
+    a = -(-n // b)
+    last = F.least(F.col("size") + (a * b - n), F.lit(a * b)) - 1
+    cells = users.select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("position"))
+    cells = cells.withColumns({"x": F.expr(f"position div {b}"), "y": F.col("position") % b})
+    for turn in range(3):
+        for to, frm, size in (("x", "y", a), ("y", "x", b)):
+            cells = cells.withColumn(to, (F.col(to) + draw_number("user_id", frm, size, f"{seed}:{turn}{to}")) % size)
+    return cells.select("user_id", (F.col("x") * b + F.col("y")).alias("number"), "position").where(F.col("number") < n)
+
+
+def negatives(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, seed: int = 42, draws: int = 8) -> DataFrame:
+    """min(k, unseen) different random items for each user, none of them seen by the user.
+
+    Seen items are left out before the cut to k. Users whose draws * k draws do not hold enough unseen items go on in a random
+    order of all items: its first seen + k places hold k unseen ones, or all there are. So the rows made are at most draws * k
+    and, for users who are short, seen + k and the root of the number of items."""
+    numbers = numbered_items(items)
+    n = numbers.count()
+    if n == 0 or k <= 0:
+        return users.select("user_id", F.lit(0).cast("long").alias("item_id")).limit(0)
+    known = seen.select("user_id", "item_id").where("user_id is not null").distinct().join(numbers, "item_id").select("user_id", "number")
+    fresh = first_draws(users, n, draws * k, seed).join(known, ["user_id", "number"], "left_anti")
+    tally = lambda df, own, old, new: df.select("user_id", F.lit(own).alias("own"), F.lit(old).alias("old"), F.lit(new).alias("new"))
+    counts = tally(users, 1, 0, 0).unionByName(tally(known, 0, 1, 0)).unionByName(tally(fresh, 0, 0, 1)).groupBy("user_id").agg(F.max("own").alias("own"), F.sum("old").alias("old"), F.sum("new").alias("new"))
+    short = counts.where((F.col("own") == 1) & (F.col("new") < F.least(F.lit(k), n - F.col("old")))).select("user_id", (F.col("old") + k).alias("size"))
+    more = shuffled_numbers(short, n, seed).select("user_id", "number", (F.col("position") + draws * k).alias("draw")).join(known, ["user_id", "number"], "left_anti")
+    unseen = fresh.unionByName(more).groupBy("user_id", "number").agg(F.min("draw").alias("draw"))
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("draw"))
+    return unseen.withColumn("rank", rank).where(F.col("rank") <= k).join(numbers, "number").select("user_id", "item_id")
 
 
 def item_subset(items: DataFrame, size: int | None, seed: int = 42) -> DataFrame | None:

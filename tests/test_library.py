@@ -124,6 +124,29 @@ def test_random_and_subset(spark):
     assert popularity.item_subset(items, 7).collect() == popularity.item_subset(items, 7).collect()
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 257])
+def test_shuffled_numbers(spark, n):
+    users = spark.createDataFrame([(0, 1), (1, n), (2, 5 * n)], "user_id long, size long")
+    got = popularity.shuffled_numbers(users, n, 42).orderBy("position").collect()
+    for u, size in ((0, 1), (1, n), (2, n)):
+        own = [r["number"] for r in got if r["user_id"] == u]
+        assert len(set(own)) == len(own) >= size and set(own) <= set(range(n))
+    assert n < 100 or own != [r["number"] for r in got if r["user_id"] == 1]
+
+
+def test_negatives_are_whole(spark):
+    items = spark.range(100).toDF("item_id")
+    users = spark.createDataFrame([(u,) for u in (0, 1, 2, 3, 4, None)], "user_id long")
+    n_seen = {0: 0, 1: 50, 2: 95, 3: 99, 4: 100}
+    seen = [(u, (i * 7 + u) % 100) for u, m in n_seen.items() for i in range(m)]
+    ix = spark.createDataFrame([*seen, *seen[:20], (1, 555), (9, 1)], "user_id long, item_id long")
+    for k in (1, 20, 60, 120):
+        got = [tuple(r) for r in popularity.negatives(users, items, ix, k).collect()]
+        assert len(set(got)) == len(got) and not set(got) & set(seen) and {i for _, i in got} <= set(range(100))
+        assert [sum(g[0] == u for g in got) for u in (0, 1, 2, 3, 4, None)] == [min(k, 100 - n_seen.get(u, 0)) for u in (0, 1, 2, 3, 4, None)]
+    assert popularity.negatives(users, items, ix, 0).count() == 0 and popularity.negatives(users, items.limit(0), ix, 5).count() == 0
+
+
 def test_config(tmp_path):
     p = tmp_path / "c.json"
     p.write_text(json.dumps({"mode": "ann_full", "subset_size": None}))
