@@ -153,8 +153,10 @@ class TwoTowerCore(Core):
 
 
 class PopularCore(Core):
-    name, tables = "popular", ("ranked",)
-    defaults = {"min_positive_score": 2, "most": 1000}
+    """The state has the counts of all items; ranks and scores are made for the k that is asked for."""
+
+    name, tables = "popular", ("counts",)
+    defaults = {"min_positive_score": 2}
 
     def fit(self, data: Dataset) -> Core:
         ix = data.interactions
@@ -164,13 +166,11 @@ class PopularCore(Core):
             counts = popularity.by_score(ix, self.params["min_positive_score"])
         else:
             counts = popularity.by_impressions(ix)
-        self.state = {"ranked": popularity.top_items(counts, self.params["most"]).select("rank", "item_id")}
+        self.state = {"counts": counts}
         return self
 
     def recommend(self, users: DataFrame, k: int, request: RetrievalRequest = RetrievalRequest()) -> DataFrame:
-        best = self.state["ranked"].where(F.col("rank") <= k)
-        last = F.lit(0.9) * (F.col("rank") - 1) / F.lit(float(max(k - 1, 1)))
-        return popularity.for_every_user(users, best.withColumn("score", F.lit(1.0) - last))
+        return popularity.for_every_user(users, popularity.top_items(self.state["counts"], k))
 
 
 class RandomCore(Core):

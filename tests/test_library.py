@@ -181,3 +181,16 @@ def test_cores_round_trip(spark, tmp_path, name):
         build_core(name).load(spark, str(tmp_path / "none"))
     with pytest.raises(ValueError):
         build_core("sasrec")
+
+
+def test_popular_core_keeps_all_items(spark, tmp_path):
+    items = spark.range(1500).select(F.col("id").alias("item_id"), (1500 - F.col("id")).alias("train_interactions_rank"))
+    users, ix = spark.range(2).toDF("user_id"), spark.range(3).select(F.col("id").alias("user_id"), F.col("id").alias("item_id"))
+    build_core("popular").fit(Dataset(users, items, ix)).save(str(tmp_path / "m"))
+    core = build_core("popular").load(spark, str(tmp_path / "m"))
+    for k in (1, 1200, 1500, 2000):
+        few = min(k, 1500)
+        got = core.recommend(users, k).where("user_id = 1").orderBy("rank").collect()
+        assert [(r["rank"], r["item_id"]) for r in got] == [(i + 1, 1499 - i) for i in range(few)]
+        assert np.allclose([r["score"] for r in got], np.linspace(1.0, 0.1, few))
+    assert core.recommend(users, 0).count() == 0
