@@ -194,3 +194,25 @@ def test_popular_core_keeps_all_items(spark, tmp_path):
         assert [(r["rank"], r["item_id"]) for r in got] == [(i + 1, 1499 - i) for i in range(few)]
         assert np.allclose([r["score"] for r in got], np.linspace(1.0, 0.1, few))
     assert core.recommend(users, 0).count() == 0
+
+
+def test_synthetic_rows_have_pools_of_their_own(spark):
+    from tastemill.plans import synthetic
+
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(120, 8))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    items = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "item_id long, embedding array<double>")
+    users = items.where("item_id < 3").withColumnRenamed("item_id", "user_id")
+    got = synthetic.noisy_picks(users, items, 300, 7).collect()
+    for u in range(3):
+        own = [r for r in got if r["user_id"] == u]
+        x = m[u] @ m.T + synthetic.NOISE * synthetic.noise(synthetic.row_keys(7, np.full(300, u), np.arange(1, 301)), np.arange(120))
+        assert len(own) == 300 and len({r["item_id"] for r in own}) > synthetic.POOL
+        for r, row in zip(own, x):
+            assert math.isclose(row[r["item_id"]], r["affinity"], abs_tol=1e-9) and (row > r["affinity"] + 1e-9).sum() < synthetic.POOL
+    assert sorted((*r[:2], round(r[2], 9)) for r in synthetic.noisy_picks(users, items, 300, 7, block_bytes=2000).collect()) == sorted((*r[:2], round(r[2], 9)) for r in got)
+    z = synthetic.noise(synthetic.row_keys(1, np.arange(400), np.arange(400)), np.arange(500))
+    assert abs(z.mean()) < 0.02 and abs(z.std() - 1) < 0.02
+    rows = synthetic.generate(spark, n_users=10, n_items=200, per_user=400)["interactions"]
+    assert rows.count() == 4000 and rows.groupBy("user_id").agg(F.countDistinct("item_id").alias("n")).where(F.col("n") <= synthetic.POOL).count() == 0
