@@ -52,21 +52,6 @@ def draw_number(user: str, draw: str, n: int, seed: int | str):
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(user), F.col(draw))), 1, 8), 16, 10).cast("long") % n
 
 
-def random_items(users: DataFrame, items: DataFrame, k: int, seed: int = 42, draws: int = 8) -> DataFrame:
-    """k different items for each user: hash-seeded draws, repeated ones left out; the order of drawing is the rank.
-
-    draws * k draws are made; with k of n items or more wanted, or very few items, fewer than k may remain."""
-    numbers = numbered_items(items)
-    n = numbers.count()
-    if n == 0 or k <= 0:
-        return users.select("user_id", F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("score")).limit(0)
-    drawn = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(draws * k - 1))).alias("draw")).withColumn("number", draw_number("user_id", "draw", n, seed))
-    first = drawn.groupBy("user_id", "number").agg(F.min("draw").alias("draw"))
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("draw"))
-    ranked = first.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
-    return ranked.join(numbers, "number").select("user_id", "rank", "item_id", F.lit(1.0 / k).alias("score"))
-
-
 def first_draws(users: DataFrame, n: int, draws: int, seed: int) -> DataFrame:
     """user_id, number, draw: the different numbers below n that so many hash draws give a user, and where each came first."""
     drawn = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("number", draw_number("user_id", "draw", n, seed))
@@ -88,6 +73,24 @@ def shuffled_numbers(users: DataFrame, n: int, seed: int) -> DataFrame:
     return cells.select("user_id", (F.col("x") * b + F.col("y")).alias("number"), "position").where(F.col("number") < n)
 
 
+def random_items(users: DataFrame, items: DataFrame, k: int, seed: int = 42, draws: int = 8) -> DataFrame:
+    """min(k, n) different ones of n items for each user: hash-seeded draws, repeated ones left out; the order of drawing is the rank.
+
+    Users whose draws * k draws do not hold enough different items go on in a random order of all items."""
+    numbers = numbered_items(items)
+    n = numbers.count()
+    few = min(k, n)
+    if few <= 0:
+        return users.select("user_id", F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("score")).limit(0)
+    first = first_draws(users, n, draws * k, seed)
+    short = first.groupBy("user_id").agg(F.count(F.lit(1)).alias("found")).where(F.col("found") < few).select("user_id", F.lit(few).cast("long").alias("size"))
+    more = shuffled_numbers(short, n, seed).select("user_id", "number", (F.col("position") + draws * k).alias("draw"))
+    found = first.unionByName(more).groupBy("user_id", "number").agg(F.min("draw").alias("draw"))
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("draw"))
+    ranked = found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    return ranked.join(numbers, "number").select("user_id", "rank", "item_id", F.lit(1.0 / few).alias("score"))
+
+
 def negatives(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, seed: int = 42, draws: int = 8) -> DataFrame:
     """min(k, unseen) different random items for each user, none of them seen by the user.
 

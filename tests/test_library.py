@@ -216,3 +216,11 @@ def test_synthetic_rows_have_pools_of_their_own(spark):
     assert abs(z.mean()) < 0.02 and abs(z.std() - 1) < 0.02
     rows = synthetic.generate(spark, n_users=10, n_items=200, per_user=400)["interactions"]
     assert rows.count() == 4000 and rows.groupBy("user_id").agg(F.countDistinct("item_id").alias("n")).where(F.col("n") <= synthetic.POOL).count() == 0
+
+
+def test_random_items_are_whole(spark):
+    users = spark.range(300).toDF("user_id")
+    for n, k in ((20, 20), (60, 60), (20, 25), (1, 3)):
+        r = popularity.random_items(users, spark.range(n).toDF("item_id"), k)
+        per = r.groupBy("user_id").agg(F.countDistinct("item_id").alias("n"), F.countDistinct("rank").alias("r"), F.max("rank").alias("last"), F.sum("score").alias("s")).collect()
+        assert len(per) == 300 and all((p["n"], p["r"], p["last"]) == (min(n, k),) * 3 and math.isclose(p["s"], 1) for p in per)
