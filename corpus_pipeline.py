@@ -2,7 +2,8 @@
 
 Language ID drops texts that no language's filters recognise; exact dedup keeps one row of equal texts; the n-gram
 join keeps one document of each group of near duplicates (five words, similarity 0.8); mixing takes each source to
-its target, whole epochs as repeated rows; packing places every token in sequences of 2048."""
+its target, whole epochs as repeated rows; packing places every token in sequences of 2048 and returns
+the pieces' token ids (little-endian u32 bytes): mixing repeats and shortens documents, so doc_id alone does not give them."""
 
 from __future__ import annotations
 
@@ -29,7 +30,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, queries.tokenizer(queries.WORD_TOKENIZER), capacity=2048)
+    return packing.pack_documents(docs, queries.tokenizer(queries.WORD_TOKENIZER), capacity=2048, keep_ids=True)
 
 
 STAGES = [

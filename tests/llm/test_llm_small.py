@@ -132,6 +132,23 @@ def test_pack_documents(spark, some, empty):
     assert packing.pack_documents(empty, WORD).count() == 0
 
 
+def test_pipeline_returns_the_sequences(spark):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    t = Tokenizer.from_file(WORD)
+    df = docs(spark, [prose(i, 30 + 90 * i) for i in range(30)], sources=("a", "b", "a"))
+    mixed = corpus_pipeline.written(corpus_pipeline.mix(spark, df, ""), "test-mix")
+    rows = corpus_pipeline.pack(spark, mixed, "").collect()
+    sequences = defaultdict(bytes)
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert len(sequences[r["sequence_id"]]) == 4 * r["offset"] and len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        sequences[r["sequence_id"]] += r["ids"]
+    want = Counter(x for r in mixed.collect() for x in (*t.encode(r["text"] or "", add_special_tokens=False).ids, 0))
+    assert Counter(np.frombuffer(b"".join(sequences.values()), "<u4").tolist()) == want
+
+
 # 3: language
 
 
