@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,11 +48,28 @@ def seeded_latents(ids: DataFrame, key: str, dim: int, epochs: int, seed: int =
     return ids.select(key).distinct().orderBy(key).select(key, F.array(*draws).alias("latent"))
 
 
-def fit_map(latents: DataFrame, items: DataFrame, most_rows: int = 200_000, ridge: float = 1e-3) -> np.ndarray:
-    """Ridge regression from latents to content vectors on at most `most_rows` items (a documented sample)."""
-    rows = latents.join(items.select("item_id", "embedding"), "item_id").limit(most_rows).toArrow()
-    x, y = np.stack(rows["latent"].to_numpy()), np.stack(rows["embedding"].to_numpy())
-    return np.linalg.solve(x.T @ x + ridge * np.eye(x.shape[1]), x.T @ y)
+def fit_map(latents: DataFrame, items: DataFrame, ridge: float = 1e-3) -> np.ndarray:
+    """Ridge regression from latents to content vectors on all items. It takes the place of the reference's MLP.
+
+    Tasks sum x'x and x'y of their rows; what is added up and collected is dim * (dim + dim) numbers, whatever the number of items."""
+    rows = latents.join(items.select("item_id", "embedding"), "item_id").select("latent", "embedding")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in (b for b in batches if b.num_rows):
+            x, y = (np.stack(b.column(c).to_numpy(zero_copy_only=False)) for c in ("latent", "embedding"))
+            part = x.T @ np.hstack([x, y])
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total.tolist(), pa.list_(pa.float64()))], ["row", "sums"])
+
+    sums = rows.mapInArrow(run, "row long, sums array<double>").select("row", F.posexplode("sums")).groupBy("row", "pos").agg(F.sum("col").alias("sum"))
+    cells = sums.orderBy("row", "pos").collect()
+    if not cells:
+        raise ValueError("no item has a latent and a content vector")
+    dim = cells[-1]["row"] + 1
+    both = np.array([c["sum"] for c in cells]).reshape(dim, -1)
+    return np.linalg.solve(both[:, :dim] + ridge * np.eye(dim), both[:, dim:])
 
 
 def apply_map(latents: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:

@@ -224,3 +224,17 @@ def test_random_items_are_whole(spark):
         r = popularity.random_items(users, spark.range(n).toDF("item_id"), k)
         per = r.groupBy("user_id").agg(F.countDistinct("item_id").alias("n"), F.countDistinct("rank").alias("r"), F.max("rank").alias("last"), F.sum("score").alias("s")).collect()
         assert len(per) == 300 and all((p["n"], p["r"], p["last"]) == (min(n, k),) * 3 and math.isclose(p["s"], 1) for p in per)
+
+
+def test_map_is_fitted_on_all_items(spark):
+    from tastemill.operators import graph
+
+    n = 210_000
+    x = F.array(F.sin("id"), F.cos("id") + 0.5)
+    far = F.when(F.col("id") % 21 == 0, -50.0).otherwise(2.0)
+    both = spark.range(n).select(F.col("id").alias("item_id"), x.alias("latent"), F.transform(x, lambda v: v * far).alias("embedding"))
+    i = np.arange(n)
+    m = np.stack([np.sin(i), np.cos(i) + 0.5], axis=1)
+    y = m * np.where(i % 21 == 0, -50.0, 2.0)[:, None]
+    want = np.linalg.solve(m.T @ m + 1e-3 * np.eye(2), m.T @ y)
+    assert np.allclose(graph.fit_map(both.select("item_id", "latent"), both.select("item_id", "embedding")), want, rtol=1e-9)
