@@ -12,8 +12,9 @@ one join of each node with its parent. Nothing is dropped or sampled, so the mod
 
 Scoring looks each position up in hash tables; the chain of escapes runs only where the full context has
 not seen the symbol. All contexts of a position end in the same byte, so the trie is written in slices by last
-byte, each below `slice_nodes` nodes; a task holds one slice at a time (usually there is one), whatever the
-size of the model. The slices are Parquet tables in the shared folder.
+byte, of about `slice_nodes` nodes; a task holds one slice at a time (usually there is one). The slices are
+Parquet tables in the shared folder. The size is not bounded: there are at most 256 slices, and the nodes of one last
+byte stay together, so a slice is as large as its most frequent byte (blank, e) makes it and grows with the corpus.
 
 The base score is that of a unigram word model with add-one smoothing, by the same tables: slices by
 word hash (64 bits), whose parts of a document's sum add up.
