@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from pathlib import Path
 
@@ -49,6 +51,46 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Python stages that run inside get Arrow batches of so many rows: whole texts in batches of Spark's own
+    10,000 rows take hundreds of megabytes on both sides. The session's setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class Scratch:
+    """A folder in the shared one for the inner tables of one call, which removes them when they are done with."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.paths = spark, new_path(spark, name), {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """Like the function of that name."""
+        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Removes a table that `written` returned."""
+        self._delete(self.paths.pop(id(df))[1])
+
+    def remove(self) -> None:
+        self._delete(self.path)
+        self.paths.clear()
+
+    def _delete(self, path: str) -> None:
+        found = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def ensure_importable(spark: SparkSession) -> None:
     """Python workers on this machine find the package even if the driver found it by sys.path alone."""
     root = str(Path(__file__).resolve().parents[2])

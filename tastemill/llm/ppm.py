@@ -6,18 +6,22 @@ end of the text, followed. Escapes are estimated by the number of different symb
 the symbols of the longer context are excluded from the shorter one. Below the empty context the symbols
 never seen share what is left evenly.
 
-Building is distributed: every task counts the (context, symbol) pairs of its training texts, the counts of
-all rows are summed by key, shorter contexts follow by cutting keys, and the sums that exclusion needs by
-one join of each node with its parent. Nothing is dropped or sampled, so the model grows with the corpus.
-
-Scoring looks each position up in hash tables; the chain of escapes runs only where the full context has
-not seen the symbol. All contexts of a position end in the same byte, so the trie is written in slices by last
-byte, of about `slice_nodes` nodes; a task holds one slice at a time (usually there is one). The slices are
-Parquet tables in the shared folder. The size is not bounded: there are at most 256 slices, and the nodes of one last
-byte stay together, so a slice is as large as its most frequent byte (blank, e) makes it and grows with the corpus.
-
-The base score is that of a unigram word model with add-one smoothing, by the same tables: slices by
-word hash (64 bits), whose parts of a document's sum add up.
+Texts are put into batches of about `batch_bytes`. One pass over them finds each batch's different (context, symbol)
+keys and words, with their counts in training texts, and keeps them packed (sorted, differences, compressed: about
+a byte a key). All else works on these:
+
+* Building: the batches' counts are summed by key, shorter contexts follow by cutting keys, and the sums that exclusion
+  needs by one join of each node with its parent. Nothing is dropped or sampled, so the model grows with the corpus.
+* The trie is written in slices. All contexts of a position end in the same bytes, so a slice has whole subtrees of
+  suffixes; a suffix whose subtree has more than `slice_nodes` nodes is split by its next byte, and again (a suffix of
+  full order has at most 257 nodes). A slice therefore has at most twice `slice_nodes` nodes, beside the
+  split suffixes' own contexts, which every slice has.
+* Scoring: a batch's keys go to their slices, where a task loads the slice once for some three million keys, and the
+  scores come back to the batch. So what moves grows with the corpus, and the model never travels to the text.
+  The chain of escapes runs only where the full context has not seen the symbol.
+
+The base score is that of a unigram word model with add-one smoothing, in the same way: slices by word hash (62
+bits), which return the words' counts.
 
 Defined cases: a null text is the empty text: only its end is scored. Very long texts are read in windows with
 their context carried over. Without training rows every symbol has probability 1/257. Repeated rows are scored
@@ -25,6 +29,7 @@ row by row, null ids too (their fold is that of the empty id); an empty table gi
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,20 +37,20 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset
+import pyarrow.ipc
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastemill.llm._common import ensure_importable, new_path, written
+from tastemill.llm._common import Scratch, arrow_rows, ensure_importable, written
 
 ORDER = 5
 SYMBOL_BITS = 9  # a byte, or 256 for the end
 END = 256
 BLOCK = 1 << 18  # bytes that are looked at together
 MERGED = 1_000_000  # new keys after which a task's counts are summed
-FLUSHED = 3_000_000  # different keys after which they go to the shuffle
-HELD = 24 << 20  # bytes of text that are held while slices pass
-END_WORD = np.uint64(1)
+END_WORD = 1  # no word has this number
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 CUT = re.compile(rb"[\x20\x09-\x0D]")
@@ -92,7 +97,13 @@ class Block:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * power[: len(self.bytes)])])
         h = (total[end] - total[begin]) * inverse[begin]
         h ^= h >> np.uint64(31)
-        return begin, h * np.uint64(0xC2B2AE3D27D4EB4F) | np.uint64(2)  # never END_WORD
+        return begin, h * np.uint64(0xC2B2AE3D27D4EB4F)
+
+    def all_words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and numbers (62 bits) of words and of the texts' ends."""
+        at, h = self.words()
+        ends = self.last[self.final]
+        return np.concatenate([at, ends]), np.concatenate([(h >> np.uint64(2)).astype(np.int64) | 2, np.full(len(ends), END_WORD)])
 
 
 def pow2(n: int) -> int:
@@ -140,83 +151,163 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
-def corpus_counts(train: DataFrame) -> DataFrame:
-    """(kind, key, n) of all rows of train (text as lower-cased binary): kind 0 nodes of full order, kind 1 words."""
-    ensure_importable(train.sparkSession)
+def packed(x: np.ndarray) -> bytes:
+    """int64 numbers, best sorted ones: differences, by byte planes, compressed."""
+    planes = np.diff(x, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T
+    return pa.Codec("zstd").compress(planes.tobytes(), asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, 8 * n, asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie_slice.cache_clear()  # of an earlier model
-        word_slice.cache_clear()
-        found: list[list] = [[], []]
-        fresh = [0, 0]
 
-        def add(kind: int, keys: np.ndarray) -> None:
+def batches_of(rows: DataFrame, batch_bytes: int) -> DataFrame:
+    """batch, kind, n, data, counts. kind 0: a batch's n keys of full order, and how often training texts have
+    them; kind 1: its words likewise; kind 2: some of its rows, as a compressed Arrow batch."""
+    ensure_importable(rows.sparkSession)
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size, parts, fresh = TaskContext.get().partitionId() << 24, 0, ([], []), [0, 0]
+
+        def row(kind: int, n: int, data: bytes, counts: bytes | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([kind], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary()), pa.array([counts], pa.binary())], ["batch", "kind", "n", "data", "counts"])
+
+        def add(kind: int, keys: np.ndarray, train: np.ndarray) -> None:
             if len(keys):
-                found[kind].append(counted(keys))
-                fresh[kind] += len(found[kind][-1][0])
+                parts[kind].append(counted((keys << 1) | train))
+                fresh[kind] += len(parts[kind][-1][0])
             if fresh[kind] > MERGED:
-                found[kind], fresh[kind] = [summed(found[kind])], 0
+                parts[kind][:], fresh[kind] = [summed(parts[kind])], 0
 
-        def flush(kind: int) -> Iterator[pa.RecordBatch]:
-            if found[kind]:
-                keys, n = summed(found[kind])
+        def close() -> Iterator[pa.RecordBatch]:
+            for kind in (0, 1):
+                if parts[kind]:
+                    keys, n = summed(parts[kind])
+                    first = np.flatnonzero(np.concatenate([np.ones(1, bool), keys[1:] >> 1 != keys[:-1] >> 1]))
+                    yield row(kind, len(first), packed(keys[first] >> 1), packed(np.add.reduceat(n * (keys & 1), first)))
+                parts[kind].clear()
+                fresh[kind] = 0
+
+        for b in (b.slice(at, 500) for b in found for at in range(0, b.num_rows, 500)):
+            texts, train = b.column("text").to_pylist(), ~b.column("held_out").to_numpy(zero_copy_only=False)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(b)
+            yield row(2, b.num_rows, sink.getvalue().to_pybytes(), None)
+            for block in blocks(texts):
+                at, context, symbol = block.keys()
+                own = train[block.docs].astype(np.int64)
+                add(0, (context << SYMBOL_BITS) | symbol, own[np.searchsorted(block.starts, at, "right") - 1])
+                at, words = block.all_words()
+                add(1, words, own[np.searchsorted(block.starts, at, "right") - 1])
+            size += sum(map(len, texts))
+            if size >= batch_bytes:
+                yield from close()
+                number, size = number + 1, 0
+        yield from close()
+
+    return rows.mapInArrow(run, "batch long, kind int, n long, data binary, counts binary")
+
+
+def corpus_counts(batches: DataFrame) -> DataFrame:
+    """(kind, key, n) of all training rows: kind 0 nodes of full order, kind 1 words."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            for kind, size, data, counts in zip(*(b.column(c).to_pylist() for c in ("kind", "n", "data", "counts"))):
+                keys, n = unpacked(data, size), unpacked(counts, size)
+                keys, n = keys[n > 0], n[n > 0]
                 for at in range(0, len(keys), 100_000):
                     k = keys[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[at : at + 100_000])], ["kind", "key", "n"])
-                found[kind], fresh[kind] = [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n[at : at + 100_000])], ["kind", "key", "n"])
 
-        for block in (block for b in batches for at in range(0, b.num_rows, 500) for block in blocks(b.column("text").slice(at, 500).to_pylist())):
-            _, context, symbol = block.keys()
-            add(0, (context << SYMBOL_BITS) | symbol)
-            add(1, np.concatenate([block.words()[1], np.full(int(block.final.sum()), END_WORD)]))
-            for kind in (0, 1):
-                if found[kind] and sum(len(k) for k, _ in found[kind]) > FLUSHED:  # bounded memory; the sums go on in the shuffle
-                    yield from flush(kind)
-        yield from flush(0)
-        yield from flush(1)
-
-    rows = train.mapInArrow(run, "kind int, key long, n long")
+    rows = batches.where("kind < 2").select("kind", "n", "data", "counts").mapInArrow(run, "kind int, key long, n long")
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def build_model(train: DataFrame, slice_nodes: int = 2_000_000) -> dict:
-    """Counts all training rows and writes the slices. What it returns fits in a closure: paths and totals."""
-    spark = train.sparkSession
-    counts = written(corpus_counts(train), "ppm-counts")
+def _mask(bytes_: int) -> int:
+    return (1 << (8 * bytes_)) - 1
+
+
+def _slices(nodes: DataFrame, slice_nodes: int) -> tuple[int, list[tuple[int, dict[int, int]]]]:
+    """Into how many slices the trie is cut, and for each length of suffixes the slice of those that are not split."""
+    leaves, split, total = [], None, 0
+    for depth in range(1, ORDER + 1):
+        own = nodes.where(F.col("k") >= depth)
+        if split is not None:
+            above = nodes.sparkSession.createDataFrame([(x,) for x in split], "above long")
+            own = own.join(F.broadcast(above), F.expr(f"ctx & {_mask(depth - 1)}") == F.col("above"))  # at most total / slice_nodes rows
+        sizes = own.groupBy(F.expr(f"ctx & {_mask(depth)}").alias("suffix")).count().collect()  # 256 for each that is split
+        split = [r["suffix"] for r in sizes if r["count"] > slice_nodes and depth < ORDER]
+        leaves += [(r["count"], depth, r["suffix"]) for r in sizes if r["count"] <= slice_nodes or depth == ORDER]
+        if not split:
+            break
+    total = sum(x[0] for x in leaves)
+    loads = [(0, k) for k in range(max(1, -(-total // slice_nodes)))]
+    of: dict[int, dict[int, int]] = {}
+    for count, depth, suffix in sorted(leaves, reverse=True):  # to the slice that has the least so far
+        load, k = heapq.heappop(loads)
+        of.setdefault(depth, {})[suffix] = k
+        heapq.heappush(loads, (load + count, k))
+    return len(loads), sorted(of.items())
+
+
+def _placed(df: DataFrame, leaves: list[tuple[int, dict[int, int]]]) -> DataFrame:
+    """df (k, ctx) with the slice: that of the suffix that is not split, or -1 for all."""
+    found = []
+    for depth, of in leaves:
+        table = df.sparkSession.createDataFrame(sorted(of.items()), f"suffix{depth} long, slice{depth} int")
+        df = df.join(F.broadcast(table), (F.col("k") >= depth) & (F.expr(f"ctx & {_mask(depth)}") == F.col(f"suffix{depth}")), "left")
+        found.append(F.col(f"slice{depth}"))
+    return df.withColumn("slice", F.coalesce(*found, F.lit(-1)))
+
+
+def build_model(batches: DataFrame, scratch: Scratch, slice_nodes: int = 1_000_000) -> dict:
+    """Sums all training counts and writes the slices. What it returns fits in a closure: paths, totals and leaves."""
+    counts = scratch.written(corpus_counts(batches), "ppm-counts")
     top = counts.where("kind = 0").select("key", "n")
     mask = "(shiftleft(1L, 8 * k) - 1)"
     cut = top.withColumn("k", F.explode(F.expr(f"sequence(0, {ORDER})")))
     cut = cut.select("k", F.expr(f"(((key >> {SYMBOL_BITS}) & {mask}) << {SYMBOL_BITS}) | (key & {(1 << SYMBOL_BITS) - 1})").alias("key"), "n")
-    nodes = written(cut.groupBy("k", "key").agg(F.sum("n").alias("n")), "ppm-nodes").withColumn("ctx", F.expr(f"key >> {SYMBOL_BITS}"))
-    contexts = written(nodes.groupBy("k", "ctx").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")), "ppm-contexts")
+    nodes = scratch.written(cut.groupBy("k", "key").agg(F.sum("n").alias("n")), "ppm-nodes").withColumn("ctx", F.expr(f"key >> {SYMBOL_BITS}"))
+    contexts = scratch.written(nodes.groupBy("k", "ctx").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")), "ppm-contexts")
     above = nodes.select((F.col("k") + 1).alias("k"), F.col("key").alias("up"), F.col("n").alias("up_n"))
     to_parent = F.expr(f"((ctx & (shiftleft(1L, 8 * (k - 1)) - 1)) << {SYMBOL_BITS}) | (key & {(1 << SYMBOL_BITS) - 1})")
     shared = nodes.where("k > 0").withColumn("up", to_parent).join(above, ["k", "up"]).groupBy("k", "ctx").agg(F.sum("up_n").alias("excluded"))
     parents = contexts.select((F.col("k") + 1).alias("k"), F.col("ctx").alias("up_ctx"), F.col("total").alias("up_total"), F.col("kinds").alias("up_kinds"))
     full = contexts.join(shared, ["k", "ctx"], "left").withColumn("up_ctx", F.expr("ctx & (shiftleft(1L, 8 * greatest(k - 1, 0)) - 1)")).join(parents, ["k", "up_ctx"], "left")
-    sizes = nodes.groupBy((F.col("ctx") % 256).cast("int").alias("b")).count().collect()  # at most 256 rows
-    slices = max(1, -(-sum(r["count"] for r in sizes) // slice_nodes))
-    loads, slice_of = [0] * slices, [0] * 256
-    for r in sorted(sizes, key=lambda r: -r["count"]):
-        slice_of[r["b"]] = loads.index(min(loads))
-        loads[slice_of[r["b"]]] += r["count"]
-    which = F.when(F.col("k") == 0, -1).otherwise(F.element_at(F.array(*map(F.lit, slice_of)), (F.col("ctx") % 256 + 1).cast("int")))
+    slices, leaves = _slices(nodes, slice_nodes)
     place = F.expr("shiftleft(cast(k as bigint), 50)")
-    path = new_path(spark, "ppm-model")
+    path = f"{scratch.path}/model"
     totals = contexts.select("k", "ctx", "total", "kinds")
-    out = nodes.join(totals, ["k", "ctx"]).select(which.alias("slice"), (place + F.col("key")).alias("id"), F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("a"), F.col("n").cast("double").alias("b"))
+    out = _placed(nodes.join(totals, ["k", "ctx"]), leaves).select("slice", (place + F.col("key")).alias("id"), F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).cast("float").alias("a"), F.col("n").cast("float").alias("b"))
     out.repartition(slices + 1, "slice").write.partitionBy("slice").parquet(f"{path}/nodes")
-    more = full.select(
-        which.alias("slice"), (place + F.col("ctx")).alias("id"), F.log10(F.col("kinds") / (F.col("total") + F.col("kinds"))).alias("a"),
+    more = _placed(full, leaves).select(
+        "slice", (place + F.col("ctx")).alias("id"), F.log10(F.col("kinds") / (F.col("total") + F.col("kinds"))).alias("a"),
         (F.col("up_total") - F.col("excluded") + F.col("up_kinds") - F.col("kinds")).cast("double").alias("b"), (F.col("up_kinds") - F.col("kinds")).cast("double").alias("c"), F.col("kinds").cast("double").alias("d"),
     )
     more.repartition(slices + 1, "slice").write.partitionBy("slice").parquet(f"{path}/contexts")
     words = counts.where("kind = 1")
     row = words.agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).first()
     word_slices = max(1, -(-row["v"] // slice_nodes))
-    spread = words.select(F.pmod(F.shiftright("key", 3), F.lit(word_slices)).cast("int").alias("slice"), F.col("key").alias("id"), F.log10(F.col("n") + 1).alias("a"))
+    spread = words.select(F.pmod("key", F.lit(word_slices)).cast("int").alias("slice"), F.col("key").alias("id"), F.col("n").alias("a"))
     spread.repartition(word_slices, "slice").write.partitionBy("slice").parquet(f"{path}/words")
-    return {"path": path, "slices": slices, "slice_of": slice_of, "word_slices": word_slices, "distinct": row["v"], "tokens": row["n"] or 0}
+    for table in (counts, contexts):
+        scratch.drop(table)
+    of = [(depth, np.array(sorted(x), np.int64), np.array([x[k] for k in sorted(x)], np.int32)) for depth, x in leaves]
+    return {"path": path, "slices": slices, "leaves": of, "word_slices": word_slices, "distinct": row["v"], "tokens": row["n"] or 0}
+
+
+def slice_of(model: dict, kind: int, keys: np.ndarray) -> np.ndarray:
+    if kind == 1:
+        return keys % model["word_slices"]
+    context, out = keys >> SYMBOL_BITS, np.zeros(len(keys), np.int32)  # a suffix that is new has its shorter contexts in every slice
+    for depth, suffix, own in model["leaves"]:
+        at = context & _mask(depth)
+        place = np.minimum(np.searchsorted(suffix, at), len(suffix) - 1)
+        out = np.where(suffix[place] == at, own[place], out)
+    return out
 
 
 class Table:
@@ -272,16 +363,14 @@ def _read(path: str, columns: list[str], slices: list[int]) -> list[np.ndarray]:
 
 @lru_cache(1)
 def trie_slice(path: str, k: int) -> tuple[Table, Table]:
-    ids, a, b = _read(f"{path}/nodes", ["id", "a", "b"], [-1, k])
-    nodes = Table(ids, a.astype(np.float32), b.astype(np.float32))
+    nodes = Table(*_read(f"{path}/nodes", ["id", "a", "b"], [-1, k]))
     ids, a, b, c, d = _read(f"{path}/contexts", ["id", "a", "b", "c", "d"], [-1, k])
     return nodes, Table(ids, a, np.nan_to_num(b), np.nan_to_num(c), d)
 
 
 @lru_cache(1)
 def word_slice(path: str, k: int) -> Table:
-    ids, a = _read(f"{path}/words", ["id", "a"], [k])
-    return Table(ids, a)
+    return Table(*_read(f"{path}/words", ["id", "a"], [k]))
 
 
 def symbol_scores(nodes: Table, contexts: Table, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -319,72 +408,100 @@ def symbol_scores(nodes: Table, contexts: Table, context: np.ndarray, symbol: np
     return out
 
 
-def score_texts(model: dict, texts: list[bytes]) -> dict[str, np.ndarray]:
-    """Of lower-cased texts. One slice after another is held."""
+def key_scores(batches: DataFrame, model: dict, group_keys: int = 3_000_000) -> DataFrame:
+    """batch, kind (3 and 4, to kinds 0 and 1), n (the slice), data: log10 of each key's probability, each word's count."""
+    rows = batches.where("kind < 2")
+    groups = {r["kind"]: max(1, -(-r["keys"] // (group_keys * model[("slices", "word_slices")[r["kind"]]]))) for r in rows.groupBy("kind").agg(F.sum("n").alias("keys")).collect()}  # two rows
+
+    def ask(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            for batch, kind, n, data in zip(*(b.column(c).to_pylist() for c in ("batch", "kind", "n", "data"))):
+                keys = unpacked(data, n)
+                which = slice_of(model, kind, keys)
+                own = np.unique(which)
+                parts = [keys[which == s] for s in own]
+                fixed = lambda x: pa.array([x] * len(own), pa.int64())
+                group = (batch * 0x9E3779B1 >> 8) % groups[kind]
+                yield pa.RecordBatch.from_arrays([fixed(kind), fixed(group), pa.array(own, pa.int64()), fixed(batch), pa.array([len(x) for x in parts], pa.int64()), pa.array(map(packed, parts), pa.binary())], ["kind", "part", "slice", "batch", "n", "data"])
+
+    def tell(t: pa.Table) -> pa.Table:
+        kind, s = t["kind"][0].as_py(), t["slice"][0].as_py()
+        (trie_slice if kind else word_slice).cache_clear()
+        out = []
+        for n, data in zip(t["n"].to_pylist(), t["data"].to_pylist()):
+            keys = unpacked(data, n)
+            if kind == 0:
+                nodes, contexts = trie_slice(model["path"], s)
+                got = [symbol_scores(nodes, contexts, k >> SYMBOL_BITS, k & ((1 << SYMBOL_BITS) - 1)) for k in np.split(keys, range(BLOCK, n, BLOCK))]
+                out.append(packed(np.concatenate(got).view(np.int64)))
+            else:
+                table = word_slice(model["path"], s)
+                at, there = table.find(keys)
+                out.append(packed(np.where(there, table.values[0][at], 0)))
+        return pa.table({"batch": t["batch"], "kind": pa.array([kind + 3] * len(out), pa.int32()), "n": t["slice"], "data": pa.array(out, pa.binary())})
+
+    asked = rows.select("batch", "kind", "n", "data").mapInArrow(ask, "kind long, part long, slice long, batch long, n long, data binary")
+    return asked.groupBy("kind", "slice", "part").applyInArrow(tell, "batch long, kind int, n long, data binary")
+
+
+def score(batches: DataFrame, model: dict, kind: str) -> DataFrame:
+    """doc_id (of type kind), held_out, n_tokens, n_known, train_tokens, base_score, score: each batch's rows by its keys' scores."""
+
+    def finish(t: pa.Table) -> pa.Table:
+        trie_slice.cache_clear()  # of the stage before
+        word_slice.cache_clear()
+        rows = {k: [] for k in range(5)}
+        for k, n, data in zip(t["kind"].to_pylist(), t["n"].to_pylist(), t["data"].to_pylist()):
+            rows[k].append((n, data))
+        tables = []
+        for k in (0, 1):
+            keys = np.concatenate([unpacked(data, n) for n, data in rows[k]]) if rows[k] else np.zeros(0, np.int64)
+            value, which = np.zeros(len(keys), np.int64), slice_of(model, k, keys)
+            for s, data in rows[k + 3]:
+                own = which == s
+                value[own] = unpacked(data, int(own.sum()))
+            tables.append(Table(keys, value if k else value.view(np.float64)))
+        parts = [pa.ipc.open_stream(data).read_all() for _, data in rows[2]]
+        got = [score_texts(model, *tables, p["text"].to_pylist()) for p in parts]
+        whole = pa.concat_tables([p.select(["doc_id", "held_out"]) for p in parts])
+        for name in ("n_tokens", "n_known", "train_tokens", "base_score", "score"):
+            whole = whole.append_column(name, pa.array(np.concatenate([g[name] for g in got])))
+        return whole
+
+    both = batches.select("batch", "kind", "n", "data").unionByName(key_scores(batches, model))
+    return both.groupBy("batch").applyInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def score_texts(model: dict, trie: Table, words: Table, texts: list[bytes]) -> dict[str, np.ndarray]:
+    """Of lower-cased texts, all of whose keys the tables have."""
     n = len(texts)
-    out = {"n_tokens": np.zeros(n, np.int64), "n_known": np.zeros(n, np.int64), "base": np.zeros(n), "score": np.zeros(n)}
-    slice_of = np.array(model["slice_of"])
-    for s in range(model["slices"]):
-        nodes, contexts = trie_slice(model["path"], s)
-        for block in blocks(texts):
-            at, context, symbol = block.keys()
-            if model["slices"] > 1:
-                own = slice_of[context & 255] == s
-                at, context, symbol = at[own], context[own], symbol[own]
-            segment = np.searchsorted(block.starts, at, "right") - 1
-            sums = np.bincount(segment, symbol_scores(nodes, contexts, context, symbol), minlength=len(block.docs))
-            np.add.at(out["score"], block.docs, sums)
-    for s in range(model["word_slices"]):
-        table = word_slice(model["path"], s)
-        for block in blocks(texts):
-            at, h = block.words()
-            at, h = np.concatenate([at, block.last[block.final]]), np.concatenate([h, np.full(int(block.final.sum()), END_WORD)])
-            segment = np.searchsorted(block.starts, at, "right") - 1
-            slot, there = table.find(h.view(np.int64))
-            known = there.astype(np.float64)
-            for name, each in (("n_known", known), ("base", np.where(there, table.values[0][slot], 0.0)), ("n_tokens", np.ones(len(at)))):
-                if name != "n_tokens" or s == 0:
-                    np.add.at(out[name], block.docs, np.bincount(segment, each, minlength=len(block.docs)).astype(out[name].dtype))
-    out["base"] -= out["n_tokens"] * np.log10(model["tokens"] + model["distinct"] + 1)
+    out = {"n_tokens": np.zeros(n, np.int64), "n_known": np.zeros(n, np.int64), "base_score": np.zeros(n), "score": np.zeros(n), "train_tokens": np.full(n, model["tokens"])}
+    for block in blocks(texts):
+        at, context, symbol = block.keys()
+        place = lambda x, y: np.bincount(np.searchsorted(block.starts, x, "right") - 1, y, minlength=len(block.docs))
+        np.add.at(out["score"], block.docs, place(at, trie.values[0][trie.find((context << SYMBOL_BITS) | symbol)[0]]))
+        at, h = block.all_words()
+        c = words.values[0][words.find(h)[0]]
+        np.add.at(out["base_score"], block.docs, place(at, np.log10(c + 1)))
+        for name, each in (("n_known", c > 0), ("n_tokens", np.ones(len(at)))):
+            np.add.at(out[name], block.docs, place(at, each).astype(np.int64))
+    out["base_score"] -= out["n_tokens"] * np.log10(model["tokens"] + model["distinct"] + 1)
     return out
 
 
-def score(rows: DataFrame, model: dict) -> DataFrame:
-    """rows: (doc_id, held_out, text as lower-cased binary). Adds n_tokens, n_known, train_tokens, base_score, score."""
-    ensure_importable(rows.sparkSession)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def finish(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held)
-        got = score_texts(model, [x for b in held for x in b.column("text").to_pylist()])
-        t = t.select(["doc_id", "held_out"]).combine_chunks()
-        arrays = [t["doc_id"].combine_chunks(), t["held_out"].combine_chunks(), pa.array(got["n_tokens"]), pa.array(got["n_known"]), pa.array(np.full(t.num_rows, model["tokens"])), pa.array(got["base"]), pa.array(got["score"])]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        most = HELD if model["slices"] + model["word_slices"] > 2 else BLOCK
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                held.append(b.slice(at, 500))
-                size += held[-1].nbytes
-                if size >= most:
-                    yield finish(held)
-                    held, size = [], 0
-        if held:
-            yield finish(held)
-
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.mapInArrow(run, schema)
-
-
 def lower_binary(text):
     from tastemill.llm._common import ascii_lower
 
     return ascii_lower(F.coalesce(text, F.lit(""))).cast("binary")
 
 
-def score_documents(docs: DataFrame, held_out, **options) -> DataFrame:
+def score_documents(docs: DataFrame, held_out, batch_bytes: int = 16 << 20, **options) -> DataFrame:
+    """One row per row of docs; learns from the rows that are not held out."""
+    scratch = Scratch(docs.sparkSession, "ppm")
     rows = docs.select("doc_id", held_out.alias("held_out"), lower_binary(F.col("text")).alias("text"))
-    model = build_model(rows.where(~F.col("held_out")).select("text"), **options)
-    return score(rows, model)
+    with arrow_rows(docs.sparkSession):
+        batches = scratch.written(batches_of(rows, batch_bytes), "batches")
+        model = build_model(batches, scratch, **options)
+        out = written(score(batches, model, rows.schema["doc_id"].dataType.simpleString()), "ppm-scores")
+    scratch.remove()
+    return out

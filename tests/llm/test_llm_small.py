@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tastemill.llm._common import Scratch
 from tastemill.llm import components, exact_dedup, language_id, mixing, ngram_join, packing, ppm, quality_rules, token_counts, token_shards, url_filter
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -71,6 +72,15 @@ def test_dedup_ties_nulls_and_a_full_filter(spark):
         assert exact_dedup.drop_exact_duplicates(df, **options).count() == 303
 
 
+def test_few_unique_rows_are_flagged_at_any_size(spark):
+    """The filter grows with the rows: also where it is too large to be broadcast, only a few unique rows are flagged."""
+    rows = spark.range(30_000).select(F.xxhash64("id").alias("h"), F.col("id").alias("row")).unionByName(spark.range(100).select(F.xxhash64("id").alias("h"), (F.col("id") + 30_000).alias("row")))
+    filter_, segments = exact_dedup.repeat_filter(rows.select("h"), 30_100)
+    for most in (64 << 20, 4096):
+        flagged = exact_dedup.probe(rows, F.col("h"), filter_, segments, "maybe", most).where("maybe")
+        assert flagged.where("row < 100 or row >= 30000").count() == 200 and flagged.count() < 200 + 30_000 * 0.02
+
+
 # 2: packing
 
 
@@ -193,6 +203,12 @@ def test_counts_and_all_prefixes(spark, some, empty):
     for i, x in enumerate(TEXTS):
         assert (got[i]["n_tokens"], got[i]["n_bytes"]) == (count(x or ""), len((x or "").encode()))
         assert got[i]["over_limit"] == (got[i]["n_tokens"] > 50)
+        whole, fit = x or "", got[i]["fit_chars"]
+        ends = [m.end() for m in re.finditer(r"\s*[^\s]+", whole)] if "<|" not in whole else []
+        if not got[i]["over_limit"]:
+            assert fit == len(whole)
+        elif ends and len(whole) < 5000:
+            assert fit == max([e for e in ends if count(whole[:e]) <= 50], default=0)
     counter = token_counts.counter_of(BYTE)
     for x in ("it's  we'll\n\n go 12x <|endoftext|>  on", "é漢字 \u3000\x85 \x1c!", prose(4, 12)):
         table = token_counts.PrefixTable(counter, x)
@@ -271,6 +287,31 @@ def test_shards(spark, some, empty):
     assert token_shards.write_shards(empty, BYTE, "k").count() == 0
 
 
+def test_shards_do_not_depend_on_partitions(spark, some, tmp_path):
+    """The same bytes and slots however the rows are dealt to tasks, also where several shards share a partition."""
+    df = some.unionByName(docs(spark, [prose(i, 50 + 7 * i) for i in range(40)]))
+    found = []
+    for k, (dealt, most) in enumerate(((df.coalesce(1), 20_000), (df.repartition(7), 2))):
+        rows = token_shards.write_shards(dealt, BYTE, "k", length=16, per_shard=64, to=f"file://{tmp_path}/{k}", most_partitions=most).drop("file")
+        found.append((sorted(map(tuple, rows.collect()), key=repr), {p.name: p.read_bytes() for p in sorted((tmp_path / str(k)).glob("*.bin"))}))
+    assert found[0] == found[1] and len(found[0][1]) > 4
+    again = token_shards.write_shards(df, BYTE, "k", length=16, per_shard=64, to=f"file://{tmp_path}/0").drop("file")
+    assert sorted(map(tuple, again.collect()), key=repr) == found[0][0]
+    assert {p.name: p.read_bytes() for p in (tmp_path / "0").glob("*.bin")} == found[0][1] and not list((tmp_path / "0").glob(".*.tmp"))
+
+
+def test_encoders_against_the_library():
+    """White space of all kinds, marks, letters of other scripts, special strings."""
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(6)
+    bits = [" ", "  ", "\n", "\n\n", " \n", "\t", "\r\n", "\x1c", "\x85", "\u00a0", "\u3000", "\u200b", "the", "The", "na\u00efve", "don't", "we'll", "x1", "42", ",", ".", "!?", "\u6f22", "\u0130s", "\u00df", "<|endoftext|>", "e\u0301", "\U0001f600"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 14))) for _ in range(4000)] + [" ".join(rng.choice(["a", "bc,", "D\ne", "f.\nG"], 9)) for _ in range(50)]
+    for path, encode in ((BYTE, lambda x: np.frombuffer(token_shards.encoder_of(BYTE, 4).encode(x), "<u4")), (WORD, lambda x: np.frombuffer(packing.encoder_of(WORD).encode([x])[0], "<u4"))):
+        t = Tokenizer.from_file(path)
+        assert [x for x in texts if encode(x).tolist() != t.encode(x, add_special_tokens=False).ids] == []
+
+
 # 7: prediction by partial matching
 
 
@@ -312,7 +353,7 @@ def test_scores(spark, some, empty):
     c[None] = len(train)
     n, v = sum(c.values()), len(c)
     slow = slow_scores(train, low)
-    for options in ({}, {"slice_nodes": 200}):
+    for options in ({}, {"slice_nodes": 60, "batch_bytes": 3000}):
         got = {r["doc_id"]: r for r in ppm.score_documents(some, held, **options).collect()}
         assert len(got) == len(TEXTS)
         for i, x in enumerate(low):
@@ -327,12 +368,35 @@ def test_scores(spark, some, empty):
 
 def test_windows_change_nothing(monkeypatch):
     text = prose(9, 3000).encode()
-    whole = [b.keys() for b in ppm.blocks([text])]
+
+    def read():
+        found = list(ppm.blocks([text]))
+        keys = [np.concatenate(x).tolist() for x in zip(*(b.keys()[1:] for b in found))]
+        return len(found), keys, sorted(np.concatenate([b.all_words()[1] for b in found]).tolist())
+
+    whole = read()
     monkeypatch.setattr(ppm, "BLOCK", 500)
-    parts = [b.keys() for b in ppm.blocks([text])]
-    for k in (1, 2):
-        assert np.concatenate([p[k] for p in whole]).tolist() == np.concatenate([p[k] for p in parts]).tolist()
-    assert len(parts) > 10
+    parts = read()
+    assert parts[1:] == whole[1:] and parts[0] > 10 and len(whole[2]) == 3001
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(1)
+    for x in (np.sort(rng.integers(0, 1 << 49, 1000)), rng.integers(-(1 << 62), 1 << 62, 77), np.zeros(0, np.int64), np.array([-(1 << 63), (1 << 63) - 1])):
+        assert ppm.unpacked(ppm.packed(x), len(x)).tolist() == x.tolist()
+
+
+def test_hot_suffixes_are_split(spark):
+    """No slice has more than twice its nodes beside the split suffixes' contexts, although one last byte has most nodes."""
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(list("abcdefgh"), 4000)) + "".join(x + "e" for x in rng.choice(list("abcdefgh"), 4000))
+    rows = docs(spark, [text, prose(2, 300)]).select("doc_id", F.lit(False).alias("held_out"), F.col("text").cast("binary").alias("text"))
+    scratch = Scratch(spark, "test")
+    batches = scratch.written(ppm.batches_of(rows, 1 << 20), "batches")
+    model = ppm.build_model(batches, scratch, slice_nodes=500)
+    sizes = {r["slice"]: r["count"] for r in spark.read.parquet(f"{model['path']}/nodes").groupBy("slice").count().collect()}
+    split = 1 + sum(len(x) for _, x, _ in model["leaves"]) // 2
+    assert len(model["leaves"]) > 1 and max(n for k, n in sizes.items() if k >= 0) <= 1000 and sizes[-1] <= 257 * split
 
 
 # 8: n-gram join
@@ -373,7 +437,7 @@ def near_texts(seed=0):
     return [*out, out[10], out[10], out[30]]
 
 
-@pytest.mark.parametrize("options", [{}, {"block_rows": 3}])
+@pytest.mark.parametrize("options", [{}, {"block_rows": 3, "bucket_columns": 50}])
 def test_near_components(spark, options):
     texts = near_texts()
     for n, percent in ((4, 85), (5, 80)) if not options else ((4, 85),):
@@ -389,9 +453,32 @@ def test_near_drop_and_empty(spark, empty):
     assert ngram_join.near_components(empty).count() == 0 and ngram_join.drop_near_duplicates(empty).count() == 0
 
 
+def test_rows_left_against_counting(spark, monkeypatch):
+    """In chunks of a few rows and buckets of a few columns; nothing is lost, and only rows with too few go."""
+    sets = ngram_join.shingle_sets([(t or "").lower().encode() for t in near_texts(5)], 4)
+    sets = list({s.tobytes(): s for s in sets if len(s)}.values())
+    least = [max(1, ngram_join.need(len(s), 85) // 10) for s in sets]
+    part = [s[: len(s) - ngram_join.need(len(s), 85) + max(1, len(s) // 10)] for s in sets]
+    often = Counter(x for s in part for x in s.tolist())
+    want = {ngram_join.class_of(s) for s, p, k in zip(sets, part, least) if sum(often[x] > 1 for x in p.tolist()) >= k}
+    rows = [(ngram_join.class_of(s), k, p.tobytes()) for s, p, k in zip(sets, part, least)]
+    df = spark.createDataFrame(rows, "cls long, least long, prefix binary")
+    monkeypatch.setattr(ngram_join, "CHUNK_ROWS", 6)
+    for bucket in (1 << 30, 40):
+        assert {r["cls"] for r in ngram_join.shared_prefixes(df, sum(map(len, part)), bucket).collect()} == want
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows of one id are told apart by their texts; null ids take part, and a component without another id has none."""
+    a, b = prose(11, 60), prose(12, 60)
+    rows = [(None, a), (1, a + " x"), (1, b), (2, b + " y"), (None, prose(13, 60)), (None, prose(13, 60)), (3, None), (3, "")]
+    got = ngram_join.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert Counter((r["doc_id"], r["n_shingles"] > 0, r["component_id"]) for r in got) == Counter([(None, True, 1), (1, True, 1), (1, True, 1), (2, True, 1), (None, True, None), (None, True, None), (3, False, 3), (3, False, 3)])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(50, k) for k in range(51, 90)] + [(7, 7), (100, 101), (101, 100)]
-    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "test")).collect()}
     assert got == {**dict.fromkeys(range(21), 0), **dict.fromkeys(range(50, 90), 50), 100: 100, 101: 100}
 
 
