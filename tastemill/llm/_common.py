@@ -1,49 +1,24 @@
-"""What the operators of this subpackage share: the shared folder, written intermediate tables, word rules."""
+"""What the operators of this subpackage have in common: written intermediate tables, caches, word rules."""
 
 from __future__ import annotations
 
 import os
-import re
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tastemill.sources.shared import new_path
+
 #: A word is a maximal run of characters other than ASCII white space. Fixed by the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir.
-
-    Only where the setting is absent and all runs in one process (local tests) a temporary folder serves."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = _own_dir(spark.sparkContext.applicationId)
-    if ":/" not in found:  # on the cluster's default file system
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
-        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return re.sub(r"^file:/+", "file:///", found).rstrip("/")
-
-
-@lru_cache(None)
-def _own_dir(application: str) -> str:
-    return "file://" + tempfile.mkdtemp(prefix="tastemill-")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives the loss of any executor."""
     path = new_path(df.sparkSession, name)
@@ -91,6 +66,29 @@ class Scratch:
         found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 
+class Cache(dict):
+    """What `learn` returned for the latest `most` different texts or more, twice as many at most.
+
+    When it is full, it becomes the older half; what is asked for again moves up, so frequent texts stay.
+    Texts longer than `longest` are learnt anew each time."""
+
+    def __init__(self, learn: Callable, most: int, longest: int = 256):
+        super().__init__()
+        self.learn, self.most, self.longest, self.older = learn, most, longest, {}
+
+    def __missing__(self, text: str):
+        found = self.older.get(text)
+        if found is None:
+            found = self.learn(text)
+            if len(text) > self.longest:
+                return found
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[text] = found
+        return found
+
+
 def ensure_importable(spark: SparkSession) -> None:
     """Python workers on this machine find the package even if the driver found it by sys.path alone."""
     root = str(Path(__file__).resolve().parents[2])

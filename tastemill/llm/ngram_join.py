@@ -1,24 +1,31 @@
 """N-gram Jaccard join: which documents share enough word n-grams, and the components they form.
 
-Exact, by a blocked sparse matrix product of the document by n-gram incidence:
-
-1. A document's row is its set of n-grams (64-bit hashes). Equal rows are one class.
-2. Two rows of Jaccard similarity t or more differ in at most (1 - t) / (1 + t) times the sum of their sizes. So
-   when the columns are cut, by hash, into more blocks than that, the rows agree entirely on some block. Rows give
-   one signature for each block that they have columns in; the number of blocks follows from the size (SizeClasses).
-   A block has about five columns of a row, so passages or common n-grams that documents share do not make
-   them agree on a block; near copies do.
-3. Classes that agree on a block are connected and form candidate clusters; no other pair can link.
-4. Inside a cluster the product of incidence blocks is accumulated column block by column block; tiles whose
+Exact, by a blocked sparse matrix product of the document by n-gram incidence, of which only the diagonal blocks
+that can hold a link are computed:
+
+1. A document's row is its set of n-grams (64-bit hashes). Equal rows are one class. Linked rows of sizes a and b
+   share need(a) = ceil(t a) columns at least, and need(b).
+2. Rows that cannot link leave (`shared_prefixes`). Of the first size - need + k columns by hash, k being `extra`
+   per cent of the size, linked rows have k of the smaller in common; so a row of whose prefix fewer columns occur in
+   another class has no partner. The columns go packed through one exchange; a column that a task sees twice is
+   counted there and sent once, so one that a third of all rows have is sent once a task.
+3. Of the rows left, all columns are counted. Fewer than need shared columns: no partner. Of the others the rarest
+   size - need + 1 columns, those of no other row first, hold a column of every partner (`candidate_edges`). Passages
+   and common n-grams are not rare, so they tie rows together only where a row has hardly anything else.
+4. Rows that share such a column, directly or through others, are a cluster: a diagonal block. All other entries of
+   the product are below the bound.
+5. In a cluster the product of incidence blocks is accumulated column block by column block; tiles whose
    sizes exclude a link are skipped, and pairs below the bound are discarded. A block returns a spanning
    forest of its links, never its pairs.
-5. A cluster above `block_rows` is cut into chunks: first each chunk by itself; then one pivot of each large
+6. A cluster above `block_rows` is cut into chunks: first each chunk by itself; then one pivot of each large
    component found against all chunks; then only the rows outside the cluster's largest component against the
    others. So a large group of near copies, most of which join at once, costs in proportion to its size. Where
    the rows of a large cluster do not link, all its chunks meet: exact, and the price is named here.
-6. The links' connected components are found by stars (components.py).
+7. The links' connected components are found by stars (components.py).
 
-Bounds: nothing is broadcast but after a count of its rows; otherwise the join is shuffled. A task holds one block.
+Bounds: nothing is broadcast but after a count of its rows; otherwise the join is shuffled. A task holds one block or
+one bucket of columns. Inner tables are removed when the result's own two are written. Classes and n-grams are told
+apart by 64-bit hashes.
 
 Defined cases: null or wordless text: an empty set, linked with nothing, its component is its own id. Fewer words
 than n: the whole sequence is the one n-gram. Repeated rows and ids are handled row by row; a component's name is
@@ -31,17 +38,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemill.llm._common import ensure_importable, written
+from tastemill.llm._common import Scratch, arrow_rows, ensure_importable, written
 from tastemill.llm.components import components
 from tastemill.llm.ppm import blocks, lower_binary
 
-#: Odd multipliers, one for each word of an n-gram; any would do.
-MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 TILE = 256
 COLUMNS = 4096
+CHUNK_COLUMNS = 500_000  # of a prefix table, that are sorted together
+CHUNK_ROWS = 65_535  # so a row's number in its chunk has 16 bits
+SEVERAL = 65_535  # stands for the row where a chunk has several
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -49,6 +58,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def multiplier(j: int) -> np.uint64:
+    """Odd, for the j-th word of an n-gram."""
+    return np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1)) % (1 << 64))
+
+
+def need(size, percent: int):
+    """How many columns a row of this size has in common with any partner."""
+    return -(-size * percent // 100)
+
+
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of lower-cased texts, as signed 64-bit numbers."""
     words: list[list[np.ndarray]] = [[] for _ in texts]
@@ -68,7 +87,7 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
         k = min(n, len(w))
         total = np.full(len(w) - k + 1, np.uint64(k))  # the number of words counts
         for j in range(k):
-            total = total + _mix(w[j : len(w) - k + 1 + j] * MULTIPLIERS[j])
+            total = total + _mix(w[j : len(w) - k + 1 + j] * multiplier(j))
         out.append(np.unique(_mix(total).view(np.int64)))
     return out
 
@@ -80,92 +99,112 @@ def _batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Rec
             yield part, shingle_sets(part.column("text").to_pylist(), n)
 
 
-class SizeClasses:
-    """Sizes in classes 25 % wide, and into how many column blocks each class cuts the columns.
-
-    A linked pair of sizes a <= b differs in at most (a + b)(100 - p) / (100 + p) columns, and b <= 100 a / p. The
-    class of a has `blocks` blocks: more than that number for its largest a, by 1 + slack."""
-
-    def __init__(self, percent: int, most: int = 1 << 40):
-        self.percent, edges = percent, [1]
-        while edges[-1] < most:
-            edges.append(max(edges[-1] + 1, -(-edges[-1] * 5 // 4)))
-        self.edges = np.array(edges, np.int64)
-        differ = (self.edges[1:] - 1) * (100 - percent) // percent
-        # Thinner blocks than two columns are left out where blocks have more than five columns of a row; where they
-        # have fewer, too many rows would be left to their prefixes, so blocks with one column stay.
-        self.least, part = (2, 9) if percent >= 85 else (1, 20)
-        self.slack = 2 + differ // part
-        self.blocks = differ + 1 + self.slack
-
-    def of(self, size: int) -> range:
-        """The classes in which a row of this size meets its partners: of its smallest partner's size to its own."""
-        low = -(-size * self.percent // 100)
-        at = np.searchsorted(self.edges, [low, size], "right") - 1
-        return range(int(at[0]), int(at[1]) + 1)
-
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """Hashes of (class, block, the row's columns in the block), of all blocks with `least` columns or more.
-
-        Of the pair's blocks at least 1 + slack are equal; unless both rows have more than slack blocks with fewer
-        columns, one of these has as many. Rows with so many thin blocks also give the columns of their prefix, of
-        which two linked rows have one in common."""
-        u, out = _mix(s.view(np.uint64)), []
-        for c in self.of(len(s)):
-            k = int(self.blocks[c])
-            block = ((u >> np.uint64(20)) % np.uint64(k)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            ordered = block[order]
-            first = np.flatnonzero(np.concatenate([np.ones(1, bool), ordered[1:] != ordered[:-1]]))
-            total = np.add.reduceat(u[order], first)
-            count = np.diff(np.append(first, len(s))).astype(np.uint64)
-            solid = count >= self.least
-            tag = np.uint64((c + 1) * 0xD6E8FEB86659FD93 % (1 << 64))
-            out.append(_mix(_mix(total + count) ^ _mix(ordered[first].astype(np.uint64) + tag))[solid])
-            if k - int(solid.sum()) > self.slack[c]:
-                want = len(s) - (self.percent * len(s) + 99) // 100 + 1
-                out.append(_mix((u[:want] ^ tag) + np.uint64(3)))
-        return np.concatenate(out).view(np.int64)
-
-
-def _key(s: np.ndarray) -> str:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest()
-
-
-def class_number() -> Column:
-    """A class's number, from its key: 60 bits, for candidates only."""
-    return F.conv(F.substring("key", 1, 15), 16, 10).cast("long")
-
-
-def signature_rows(rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, text_hash, key (of the set), size, signatures."""
+def class_of(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def prefix_rows(rows: DataFrame, n: int, percent: int, extra: int) -> DataFrame:
+    """doc_id, text_hash, cls (of the set), size, least (shared columns of the prefix), prefix (by hash, eight bytes each)."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = SizeClasses(percent)
         for part, sets in _batches(batches, n):
-            keys = [_key(s) if len(s) else None for s in sets]
-            found = [classes.signatures(s) if len(s) else s for s in sets]
-            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(keys, pa.string()), pa.array([len(s) for s in sets], pa.int64()), lists], ["doc_id", "text_hash", "key", "size", "signatures"])
-
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, key string, size long, signatures array<long>")
-
-
-def candidate_edges(each: DataFrame) -> DataFrame:
-    """(u, v): classes that agree on a column block, each tied to the block's smallest class."""
-    own = each.where("size > 0").select(class_number().alias("cls"), "signatures")
-    often = written(own.groupBy("cls").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("cls"), "copied-classes")
-    side = _small(often)
-    # one row of each class: only the rows of classes that have copies are shuffled
-    once = own.join(side, "cls", "left_anti").unionByName(own.join(side, "cls", "left_semi").dropDuplicates(["cls"]))
-    incidence = once.select("cls", F.explode("signatures").alias("sig"))
-    shared = written(incidence.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig"), "shared-blocks")
-    found = written(incidence.join(_small(shared), "sig"), "block-members")
-    heads = written(found.groupBy("sig").agg(F.min("cls").alias("v")), "block-heads")
-    return found.join(heads, "sig").where("cls <> v").select(F.col("cls").alias("u"), "v")
+            size = np.array([len(s) for s in sets], np.int64)
+            least = need(size, percent)
+            stop = size - least + np.maximum(1, size * extra // 100)
+            shared = np.maximum(1, least * extra // 100)  # a partner may be as small as least
+            prefix = [s[:k].tobytes() for s, k in zip(sets, stop.tolist())]
+            cls = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), cls, pa.array(size), pa.array(shared), pa.array(prefix, pa.binary())], ["doc_id", "text_hash", "cls", "size", "least", "prefix"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, cls long, size long, least long, prefix binary")
+
+
+def shared_prefixes(rows: DataFrame, columns: int, bucket_columns: int) -> DataFrame:
+    """cls of the rows (cls, least, prefix; one of each class) of whose prefix `least` columns or more occur in other prefixes.
+
+    A chunk of rows is sorted by column. Columns that the chunk has several times are counted there; each of its
+    columns goes to the column's bucket once, with the row's number in the chunk or the mark that there are several."""
+    ensure_importable(rows.sparkSession)
+    bits = max(0, (-(-columns // bucket_columns) - 1).bit_length())
+    empty = b""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sizes, cls, least, chunk = [], [], [], [], TaskContext.get().partitionId() << 24
+
+        def flush() -> pa.RecordBatch:
+            h = _mix(np.frombuffer(b"".join(held), np.uint64))  # the prefixes are of the smallest hashes
+            row = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+            order = np.argsort(h, kind="stable")
+            h, row = h[order], row[order]
+            first = np.flatnonzero(np.concatenate([np.ones(1, bool), h[1:] != h[:-1]]))
+            times = np.diff(np.append(first, len(h)))
+            count = np.bincount(row[np.repeat(times > 1, times)], minlength=len(sizes))
+            h, row = h[first], np.where(times > 1, np.uint16(SEVERAL), row[first])
+            bucket = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+            low = ((h << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+            at = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+            own = np.flatnonzero(np.diff(at))
+            # the chunk's own rows go the same way, with a number below 0, spread like the buckets
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([*own.tolist(), -1 - chunk % 65_521], pa.int64()), pa.array([chunk] * (len(own) + 1), pa.int64()),
+                    pa.array([*[low[at[b] : at[b + 1]].tobytes() for b in own], np.array(least, np.int64).tobytes()], pa.binary()),
+                    pa.array([*[row[at[b] : at[b + 1]].tobytes() for b in own], count.astype(np.int64).tobytes()], pa.binary()),
+                    pa.array([*[empty] * len(own), np.array(cls, np.int64).tobytes()], pa.binary()),
+                ],
+                ["bucket", "chunk", "columns", "rows", "cls"],
+            )
+
+        total = 0
+        for b in batches:
+            for c, k, x in zip(b.column("cls").to_pylist(), b.column("least").to_pylist(), b.column("prefix").to_pylist()):
+                held.append(x)
+                sizes.append(len(x) // 8)
+                cls.append(c)
+                least.append(k)
+                total += len(x) // 8
+                if total >= CHUNK_COLUMNS or len(sizes) == CHUNK_ROWS:
+                    yield flush()
+                    held, sizes, cls, least, total, chunk = [], [], [], [], 0, chunk + 1
+        if sizes:
+            yield flush()
+
+    def meet(t: pa.Table) -> pa.Table:
+        chunk, columns, rows_, cls = (t[c].to_pylist() for c in ("chunk", "columns", "rows", "cls"))
+        if t["bucket"][0].as_py() < 0:
+            size = [len(x) // 8 for x in cls]
+            row = np.concatenate([np.arange(k) for k in size])
+            n, c, k = (np.frombuffer(b"".join(x), np.int64) for x in (rows_, cls, columns))
+            return pa.table({"chunk": pa.array(np.repeat(np.array(chunk, np.int64), size)), "row": pa.array(row, pa.int64()), "n": pa.array(n), "cls": pa.array(c), "least": pa.array(k)})
+        column, row = np.frombuffer(b"".join(columns), np.uint32), np.frombuffer(b"".join(rows_), np.uint16)
+        place = np.repeat(np.arange(len(chunk)), [len(x) // 4 for x in columns])
+        order = np.argsort(column, kind="stable")
+        column, row, place = column[order], row[order], place[order]
+        same = column[1:] == column[:-1]
+        met = (np.concatenate([[False], same]) | np.concatenate([same, [False]])) & (row != SEVERAL)  # the others are counted already
+        pairs, n = np.unique((place[met] << 16) | row[met], return_counts=True)
+        nothing = pa.nulls(len(pairs), pa.int64())
+        return pa.table({"chunk": pa.array(np.array(chunk, np.int64)[pairs >> 16]), "row": pa.array(pairs & 65_535, pa.int64()), "n": pa.array(n.astype(np.int64)), "cls": nothing, "least": nothing})
+
+    dealt = rows.select("cls", "least", "prefix").mapInArrow(deal, "bucket long, chunk long, columns binary, rows binary, cls binary")
+    told = dealt.groupBy("bucket").applyInArrow(meet, "chunk long, row long, n long, cls long, least long")
+    counts = told.groupBy("chunk", "row").agg(F.sum("n").alias("n"), F.max("cls").alias("cls"), F.max("least").alias("least"))
+    return counts.where("n >= least").select("cls")
+
+
+def candidate_edges(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(u, v): classes that share one of their rarest columns, each tied to the column's smallest class.
+
+    sets: (cls, size, grams), one row of each class."""
+    incidence = sets.select("cls", "size", F.explode("grams").alias("h"))
+    often = scratch.written(incidence.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-columns")
+    shared = incidence.join(_small(often), "h")
+    own = Window.partitionBy("cls")
+    shared = shared.select("cls", "h", F.ceil(F.col("size") * percent / 100).alias("need"), F.count(F.lit(1)).over(own).alias("r"), F.row_number().over(own.orderBy("n", "h")).alias("place"))
+    found = scratch.written(shared.where("place <= r - need + 1").select("cls", "h"), "rare-columns")
+    heads = scratch.written(found.groupBy("h").agg(F.min("cls").alias("v")), "column-heads")
+    return found.join(heads, "h").where("cls <> v").select(F.col("cls").alias("u"), "v")
 
 
 def links_in(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -225,112 +264,133 @@ def links_in(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, percen
     return forest
 
 
-def block_links(members: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+def block_links(members: DataFrame, grams: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """members: (block, cluster, cls, label, is_left), grams: (cls, grams). Links (u, v), of each block and cluster a spanning forest."""
     ensure_importable(members.sparkSession)
 
     def run(t: pa.Table) -> pa.Table:
         cluster, cls = t["cluster"].to_numpy(), t["cls"].to_numpy()
         label, left = t["label"].to_numpy(), t["is_left"].to_numpy(zero_copy_only=False)
-        grams = t["grams"].to_pylist()
+        lists = t["grams"].combine_chunks()
+        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
         order = np.argsort(cluster, kind="stable")
         u, v = [], []
         for own in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
             if len(own) > 1:
-                for i, j in links_in([np.frombuffer(grams[k], np.int64) for k in own], label[own], left[own], percent):
+                for i, j in links_in([flat[ends[k] : ends[k + 1]] for k in own], label[own], left[own], percent):
                     u.append(cls[own[i]])
                     v.append(cls[own[j]])
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    members = written(members.select("block", "cluster", "cls", "label", "is_left"), "blocks")
+    members = scratch.written(members.select("block", "cluster", "cls", "label", "is_left"), "blocks")
     return grams.select("cls", "grams").join(_small(members), "cls").groupBy("block").applyInArrow(run, "u long, v long")
 
 
-def _small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
-    """df to be broadcast if a count shows that it has few rows; else left to a shuffled join."""
+def _small(df: DataFrame, most_rows: int = 300_000) -> DataFrame:
+    """df, narrow rows, to be broadcast if a count shows that it has few; else left to a shuffled join."""
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
-def near_components(docs: DataFrame, n: int = 4, percent: int = 85, block_rows: int = 1000, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, n: int = 4, percent: int = 85, extra: int = 10, block_rows: int = 1000, block_bytes: int = 8 << 20, bucket_columns: int = 250_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, text_hash, n_shingles, component_id."""
-    ensure_importable(docs.sparkSession)
-    if not 0 < n <= len(MULTIPLIERS):
-        raise ValueError(f"n is from 1 to {len(MULTIPLIERS)}")
-    text = lower_binary(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), text.alias("text"))
-    each = written(signature_rows(rows, n, percent), "ngram-rows")
-    clusters = written(components(candidate_edges(each)), "clusters").select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
-    bare = each.where("size = 0").select("doc_id", "text_hash", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    each = each.where("size > 0").select("doc_id", "text_hash", "key", "size")
-    classes = written(each.groupBy("key").agg(F.min("doc_id").alias("first_id")).withColumn("cls", F.monotonically_increasing_id()), "ngram-classes")
-    clusters = classes.withColumn("number", class_number()).join(_small(clusters.withColumnRenamed("cls", "number")), "number").select("cls", "key", "first_id", "cluster")
-    links = _cluster_links(rows, clusters, n, percent, block_rows, block_bytes)
-    found = written(components(links), "components")
-    named = found.join(classes.select(F.col("cls").alias("node"), "first_id"), "node")
-    names = written(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "component-names")
-    of_class = found.join(names, "component").select(F.col("node").alias("cls"), "component_id")
-    labels = written(classes.join(of_class, "cls", "left").select("key", F.coalesce("component_id", "first_id").alias("component_id")), "class-components")
+    spark = docs.sparkSession
+    ensure_importable(spark)
+    scratch = Scratch(spark, "ngram-join")
+    with arrow_rows(spark):
+        text = lower_binary(F.col(text_col))
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), text.alias("text"))
+        wide = scratch.written(prefix_rows(rows, n, percent, extra), "prefixes")
+        each = written(wide.select("doc_id", "text_hash", "cls", "size"), "ngram-rows")
+        classes = scratch.written(each.where("size > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "ngram-classes")
+        sets = _sets_left(rows, wide, classes, n, extra, percent, bucket_columns, scratch)
+        clusters = scratch.written(components(candidate_edges(sets, percent, scratch), scratch), "clusters").select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
+        links = _cluster_links(sets, clusters, percent, block_rows, block_bytes, scratch)
+        found = scratch.written(components(links, scratch), "components")
+        named = found.join(classes.select(F.col("cls").alias("node"), "first_id"), "node")
+        names = scratch.written(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "component-names")
+        of_class = found.join(names, "component").select(F.col("node").alias("cls"), "component_id")
+        labels = written(classes.join(of_class, "cls", "left").select("cls", F.coalesce("component_id", "first_id").alias("component_id")), "class-components")
+    scratch.remove()
     # two written tables: the partition of a class with very many copies is split at run time
-    full = each.join(labels, "key")
-    return full.select("doc_id", "text_hash", F.col("size").alias("n_shingles"), "component_id").unionByName(bare)
-
-
-def _cluster_links(rows: DataFrame, clusters: DataFrame, n: int, percent: int, block_rows: int, block_bytes: int) -> DataFrame:
-    """All links inside candidate clusters, by spanning forests."""
+    full = each.where("size > 0").join(labels, "cls").select("doc_id", "text_hash", F.col("size").alias("n_shingles"), "component_id")
+    return full.unionByName(each.where("size = 0").select("doc_id", "text_hash", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def _sets_left(rows: DataFrame, wide: DataFrame, classes: DataFrame, n: int, extra: int, percent: int, bucket_columns: int, scratch: Scratch) -> DataFrame:
+    """cls, size, grams of the classes whose prefixes leave a link possible, one row of each."""
+    own = wide.where("size > 0").select("cls", "least", "prefix")
+    copied = _small(classes.where("copies > 1").select("cls"))
+    # one row of each class; of all rows only those of classes that have copies are shuffled
+    once = scratch.written(own.join(copied, "cls", "left_semi").dropDuplicates(["cls"]), "copied-classes")
+    once = own.join(copied, "cls", "left_anti").unionByName(once)
+    columns = wide.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
+    left = scratch.written(shared_prefixes(once, columns // 8, bucket_columns), "rows-left")
+    wanted = scratch.written(classes.join(_small(left), "cls", "left_semi").select("cls", "first_id"), "wanted")
+    scratch.drop(wide)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found in _batches(batches, n):
             found = [s for s in found if len(s)]
-            keys = [_key(s) for s in found]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([s.tobytes() for s in found], pa.binary())], ["key", "grams"])
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), lists], ["cls", "size", "grams"])
 
-    wanted = written(clusters, "candidates")
+    # the whole set is made again for these alone; an id that occurs with other texts is sorted out by the class
     ids = wanted.select(F.col("first_id").alias("doc_id")).distinct()
-    # the whole set is made again for candidates alone; an id that occurs with other texts is sorted out by the key
     again = rows.join(_small(ids), rows["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
-    grams = again.mapInArrow(sets, "key string, grams binary").join(_small(wanted), "key").dropDuplicates(["cls"])
-    members = written(grams.select("cluster", "cls", "grams", F.octet_length("grams").alias("bytes")), "candidate-sets")
-    sizes = written(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("all_bytes")), "cluster-sizes")
-    parts = F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("all_bytes") / block_bytes)).cast("long")
-    sized = members.select("cluster", "cls").join(_small(sizes.withColumn("parts", parts)), "cluster")
-    total = sizes.agg(F.sum("all_bytes"), F.max(parts)).first()
-    groups = max(1, -(-(total[0] or 0) // block_bytes))
+    made = again.mapInArrow(sets, "cls long, size long, grams array<long>").join(_small(wanted.select("cls")), "cls", "left_semi")
+    made = scratch.written(made, "sets")
+    twice = scratch.written(made.groupBy("cls").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("cls"), "sets-twice")
+    if twice.isEmpty():
+        return made
+    twice = _small(twice)  # rows of one id and equal sets
+    return scratch.written(made.join(twice, "cls", "left_anti").unionByName(made.join(twice, "cls", "left_semi").dropDuplicates(["cls"])), "sets")
+
+
+def _cluster_links(sets: DataFrame, clusters: DataFrame, percent: int, block_rows: int, block_bytes: int, scratch: Scratch) -> DataFrame:
+    """All links inside candidate clusters, by spanning forests."""
+    members = scratch.written(clusters.join(sets.select("cls", (F.col("size") * 8).alias("bytes")), "cls"), "cluster-members")
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("all_bytes"))
+    sizes = scratch.written(sizes.withColumn("parts", F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("all_bytes") / block_bytes)).cast("long")), "cluster-sizes")
+    sized = members.select("cluster", "cls").join(_small(sizes), "cluster")
+    total = sizes.agg(F.sum("all_bytes"), F.sum("rows"), F.max("parts")).first()
+    groups = max(1, -(-(total[0] or 0) // block_bytes), -(-(total[1] or 0) // block_rows))
     chunk = F.pmod(F.xxhash64("cls"), F.col("parts"))
     small_block = F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(groups)))
     own = F.when(F.col("parts") == 1, small_block).otherwise(F.concat_ws("-", F.lit("c"), "cluster", chunk))
     alone = sized.select(own.alias("block"), "cluster", "cls", F.col("cls").alias("label"), F.lit(True).alias("is_left"))
-    links = written(block_links(alone, members, percent), "links")
-    if (total[1] or 0) <= 1:
+    links = scratch.written(block_links(alone, sets, percent, scratch), "links")
+    if (total[2] or 0) <= 1:
         return links
-    large = written(sized.where("parts > 1").withColumn("chunk", chunk), "large-clusters")
-    links = links.unionByName(_pivot_links(large, members, links, percent, block_rows))
-    links = written(links, "links")
-    return links.unionByName(_outside_links(large, members, links, percent, block_rows))
+    large = scratch.written(sized.where("parts > 1").withColumn("chunk", chunk), "large-clusters")
+    links = links.unionByName(_pivot_links(large, sets, links, percent, block_rows, scratch))
+    links = scratch.written(links, "links")
+    return links.unionByName(_outside_links(large, sets, links, percent, block_rows, scratch))
 
 
-def _labelled(large: DataFrame, links: DataFrame) -> DataFrame:
+def _labelled(large: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """large with the component of each row so far."""
-    label = written(components(links), "labels").select(F.col("node").alias("cls"), F.col("component").alias("label"))
-    return written(large.join(_small(label), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
+    label = scratch.written(components(links, scratch), "labels").select(F.col("node").alias("cls"), F.col("component").alias("label"))
+    return scratch.written(large.join(_small(label), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
 
 
-def _pivot_links(large: DataFrame, grams: DataFrame, links: DataFrame, percent: int, block_rows: int) -> DataFrame:
+def _pivot_links(large: DataFrame, grams: DataFrame, links: DataFrame, percent: int, block_rows: int, scratch: Scratch) -> DataFrame:
     """One row of each component with half a block or more, against every chunk of its cluster."""
-    now = _labelled(large, links)
+    now = _labelled(large, links, scratch)
     count = now.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("cls")).where(F.col("n") >= block_rows // 2)
     pivots = now.join(_small(count.select("cls")), "cls", "left_semi")
     pivots = pivots.select("cluster", "cls", "label", "parts", F.col("chunk").alias("home")).withColumn("chunk", F.explode(F.expr("sequence(0L, parts - 1)"))).where("chunk <> home")
     block = F.concat_ws("-", F.lit("p"), "cluster", "chunk")
     columns = ["cluster", "cls", "label"]
     chunks = now.select(block.alias("block"), *columns, F.lit(False).alias("is_left"))
-    return block_links(chunks.unionByName(pivots.select(block.alias("block"), *columns, F.lit(True).alias("is_left"))), grams, percent)
+    return block_links(chunks.unionByName(pivots.select(block.alias("block"), *columns, F.lit(True).alias("is_left"))), grams, percent, scratch)
 
 
-def _outside_links(large: DataFrame, grams: DataFrame, links: DataFrame, percent: int, block_rows: int) -> DataFrame:
+def _outside_links(large: DataFrame, grams: DataFrame, links: DataFrame, percent: int, block_rows: int, scratch: Scratch) -> DataFrame:
     """Rows outside their cluster's largest component, in groups, against all other groups and that component's chunks."""
-    now = _labelled(large, links)
+    now = _labelled(large, links, scratch)
     count = now.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = written(count.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all")), "main-components")
+    main = scratch.written(count.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all")), "main-components")
     main = main.select("cluster", F.col("m.label").alias("main"), F.ceil((F.col("all") - F.col("m.n")) / block_rows).alias("groups")).where("groups > 0")
     now = now.join(_small(main), "cluster")
     outside = now.where("label <> main").withColumn("g", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("groups")))
@@ -340,7 +400,7 @@ def _outside_links(large: DataFrame, grams: DataFrame, links: DataFrame, percent
     one = inside.withColumn("i", F.explode(F.expr("sequence(0L, groups - 1)"))).select(F.concat_ws("-", F.lit("i"), "cluster", "i", "chunk").alias("block"), *columns, F.lit(False).alias("is_left"))
     two = outside.withColumn("chunk", F.explode(F.expr("sequence(0L, parts - 1)"))).select(F.concat_ws("-", F.lit("i"), "cluster", "g", "chunk").alias("block"), *columns, F.lit(True).alias("is_left"))
     three = outside.withColumn("j", F.explode(F.expr("sequence(0L, groups - 1)"))).select(F.concat_ws("-", F.lit("o"), "cluster", F.least("g", "j"), F.greatest("g", "j")).alias("block"), *columns, F.lit(True).alias("is_left"))
-    return block_links(one.unionByName(two).unionByName(three), grams, percent)
+    return block_links(one.unionByName(two).unionByName(three), grams, percent, scratch)
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, **options) -> DataFrame:
