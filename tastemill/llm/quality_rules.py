@@ -3,28 +3,34 @@
 Base statistics of the whole text: words, code points in words, symbols, lines equal to an earlier line, and
 words inside five-word windows that occur twice or more. Five transformed statistics (log length, log
 mean word length, log symbol rate, repeated-line and repeated-word shares) form a vector. Per language and
-source, its centre and covariance are estimated by minimum covariance determinant: a deterministic start
-(medians and median absolute deviations), then concentration steps, each of which takes the `subset` share of
-rows nearest to the last estimate and estimates anew from these; no step can raise the determinant. A text
-whose squared Mahalanobis distance is above `cutoff` is rejected, as is one that fails a base rule.
+source, its centre and covariance are estimated by minimum covariance determinant. A text whose squared Mahalanobis
+distance is above `cutoff` is rejected, as is one that fails a base rule.
+
+The estimate is a regularised one (after Boudt, Rousseeuw, Vanduffel and Verdonck 2020). From a start, concentration
+steps take the `subset` share of the group's rows that is nearest to the last estimate and estimate anew from these,
+until no group's determinant changes. Two things are added to the rows taken: `floors`, standard deviations that are
+always granted, so that a statistic that most clean texts have at 0 does not make every small deviation an outlier;
+and `prior_rows` rows' worth of the estimate one level up (of the language for a source in it, of all texts for a
+language), so that a group leans on its own rows as far as it has them, whatever its size. Both are the same in every
+step, so with the exact share of rows no step can raise the determinant; the share is cut by quantile sketches, which
+are exact to 1 in 10,000 ranks. A language starts from medians and median absolute deviations; a source in it from
+its own ones and from the language's estimate, and the start that ends at the smaller determinant counts.
 
 All estimates are sums and mergeable quantile sketches over the narrow table of vectors, summed on the map
-side first, so a language or source with a third of all rows is no hot key. The covariance is scaled for the
-trimming and `floors` (standard deviations that are always granted) are added, so a statistic that most clean
-texts have at 0 does not make every small deviation an outlier.
-
-Groups with fewer than `least` rows are judged together by language, and, if these are still fewer, all together.
+side first, so a language or source with a third of all rows is no hot key. The covariance is scaled for the trimming.
 
 Defined cases: a null text has no words (base_failed); null language and null source are groups of their own;
 an empty table gives an empty result; repeated rows and null ids are judged row by row; other columns are not
-read. Windows are compared by 64-bit hashes within one text."""
+read. Windows are compared by 64-bit hashes within one text. A group of one row is judged by the estimate above it."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tastemill.llm._common import WORD, written
+from tastemill.llm._common import WORD, Scratch, written
 
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
@@ -77,72 +83,122 @@ def statistics_vector() -> list[Column]:
     ]
 
 
+P = len(VECTOR)
+MEANS = [f"m{i}" for i in range(P)]
+CELLS = [(i, j) for i in range(P) for j in range(i + 1)]  # of a symmetric matrix, the lower half
+COVARIANCE, FACTOR = [f"c{i}{j}" for i, j in CELLS], [f"l{i}{j}" for i, j in CELLS]
+
+
 def _attached(rows: DataFrame, groups: DataFrame, most: int = 100_000) -> DataFrame:
     """rows with their group's columns: a broadcast if a count shows few groups."""
     return rows.join(F.broadcast(groups) if groups.count() <= most else groups, "g")
 
 
-def _grouped(rows: DataFrame, least: int) -> DataFrame:
-    """rows with g: the (language, source), or what small ones are judged with."""
-    name = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
-    fine, coarse = F.to_json(F.array(name(F.col("lang")), name(F.col("source")))), F.to_json(F.array(name(F.col("lang"))))
-    named = rows.withColumn("g", fine).withColumn("by_lang", coarse)
-    sizes = named.groupBy("g", "by_lang").agg(F.count(F.lit(1)).alias("n"))
-    small = sizes.where(F.col("n") < least)
-    rest = small.groupBy("by_lang").agg(F.sum("n").alias("n")).select("by_lang", F.when(F.col("n") < least, F.lit("[]")).otherwise(F.col("by_lang")).alias("to"))
-    moved = written(small.join(rest, "by_lang").select("g", "to"), "small-groups")
-    small_side = F.broadcast(moved) if moved.count() <= 100_000 else moved
-    return named.join(small_side, "g", "left").withColumn("g", F.coalesce("to", "g")).drop("to", "by_lang")
-
-
-def _moments(rows: DataFrame, floors: tuple[float, ...], scale: float) -> DataFrame:
-    """g, m0.., l00..: mean and the Cholesky factor of the scaled covariance with floors."""
-    p = len(VECTOR)
-    sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(VECTOR)] + [F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)]
-    out = rows.groupBy("g").agg(*sums)
-    for i in range(p):
-        for j in range(i + 1):
-            c = F.coalesce(F.col(f"c{i}{j}"), F.lit(0.0)) * F.lit(scale) + F.lit(floors[i] ** 2 if i == j else 0.0)
-            for k in range(j):
-                c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            value = F.sqrt(F.greatest(c, F.lit(1e-12))) if i == j else c / F.col(f"l{j}{j}")
-            out = out.withColumn(f"l{i}{j}", value)
-    return written(out.select("g", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)]), "robust-moments")
+def _group(*columns: str) -> Column:
+    """One text for the values of some columns; a null is no text."""
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    return F.to_json(F.array(*map(name, columns)))
+
+
+def _factored(moments: DataFrame) -> DataFrame:
+    """moments (means and covariances) with the Cholesky factor and the logarithm of the determinant."""
+    out = moments
+    for i, j in CELLS:
+        c = F.col(f"c{i}{j}")
+        for k in range(j):
+            c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(1e-12))) if i == j else c / F.col(f"l{j}{j}"))
+    return out.withColumn("log_det", sum((F.log(f"l{i}{i}") for i in range(1, P)), F.log("l00")) * 2)
+
+
+def _moments(near: DataFrame, keys: list[str], prior: DataFrame | None, floors: tuple[float, ...], scale: float, prior_rows: float, scratch: Scratch) -> DataFrame:
+    """keys, means, covariances and factor: of the rows and, so many rows' worth, of the prior (g, means, covariances)."""
+    sums = [F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(f"a{i}") for i, x in enumerate(VECTOR)]]
+    own = near.groupBy(*keys).agg(*sums, *[F.coalesce(F.covar_pop(VECTOR[i], VECTOR[j]), F.lit(0.0)).alias(f"s{i}{j}") for i, j in CELLS])
+    if prior is None:
+        own = own.select("*", F.lit(0.0).alias("w"), *[F.lit(0.0).alias(f"p{c}") for c in MEANS + COVARIANCE])
+    else:
+        own = _attached(own, prior.select("g", F.lit(float(prior_rows)).alias("w"), *[F.col(c).alias(f"p{c}") for c in MEANS + COVARIANCE]))
+    n, w = F.col("n"), F.col("w")
+    off = lambda i: F.col(f"a{i}") - F.col(f"pm{i}")
+    means = [((n * F.col(f"a{i}") + w * F.col(f"pm{i}")) / (n + w)).alias(f"m{i}") for i in range(P)]
+    cells = [
+        ((F.lit(scale) * (n * F.col(f"s{i}{j}") + n * w / (n + w) * off(i) * off(j)) + w * F.col(f"pc{i}{j}")) / (n + w) + F.lit(floors[i] ** 2 if i == j else 0.0) * n / (n + w)).alias(f"c{i}{j}")
+        for i, j in CELLS
+    ]
+    return scratch.written(_factored(own.select(*keys, *means, *cells)), "robust-moments")
 
 
 def _distance(rows: DataFrame, moments: DataFrame) -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance; by forward substitution."""
-    out, p = _attached(rows, moments), len(VECTOR)
-    for i in range(p):
+    """rows with the other keys of moments and d2, the squared Mahalanobis distance; by forward substitution."""
+    extra = [c for c in ("start",) if c in moments.columns]
+    out = _attached(rows, moments.select("g", *extra, *MEANS, *FACTOR))
+    for i in range(P):
         y = F.col(VECTOR[i]) - F.col(f"m{i}")
         for k in range(i):
             y = y - F.col(f"l{i}{k}") * F.col(f"y{k}")
         out = out.withColumn(f"y{i}", y / F.col(f"l{i}{i}"))
-    total = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, p)), F.col("y0") * F.col("y0"))
-    return out.withColumn("d2", total).select(*rows.columns, "d2")
+    total = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, P)), F.col("y0") * F.col("y0"))
+    return out.withColumn("d2", total).select(*rows.columns, *extra, "d2")
 
 
-def robust_distances(rows: DataFrame, floors: tuple[float, ...] = FLOORS, subset: float = 0.75, steps: int = 3) -> DataFrame:
-    """rows: g and x0 to x4, a written table that is read a few times. Adds d2."""
-    median = written(rows.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 10000).alias(f"m{i}") for i, x in enumerate(VECTOR)]), "medians")
+def _medians(rows: DataFrame, floors: tuple[float, ...], scratch: Scratch) -> DataFrame:
+    """g, means and covariances by medians and median absolute deviations."""
+    median = scratch.written(rows.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 10000).alias(f"m{i}") for i, x in enumerate(VECTOR)]), "medians")
     off = _attached(rows, median)
-    spread = [F.greatest(F.lit(1.4826) * F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10000), F.lit(floors[i])).alias(f"l{i}{i}") for i, x in enumerate(VECTOR)]
-    start = off.groupBy("g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(len(VECTOR))], *spread)
-    start = written(start.select("*", *[F.lit(0.0).alias(f"l{i}{j}") for i in range(len(VECTOR)) for j in range(i)]), "robust-start")
-    now = _distance(rows, start)
-    for _ in range(steps):
-        bar = written(now.groupBy("g").agg(F.percentile_approx("d2", subset, 10000).alias("bar")), "robust-bars")
-        near = _attached(now, bar).where(F.col("d2") <= F.col("bar"))
-        now = _distance(rows, _moments(near, floors, 1 / TRIMMED[subset]))
-    return now
-
-
-def judge_quality(docs: DataFrame, cutoff: float = 35.0, least: int = 50, **options) -> DataFrame:
+    spread = [F.greatest(F.lit(1.4826) * F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10000), F.lit(floors[i])).alias(f"d{i}") for i, x in enumerate(VECTOR)]
+    found = off.groupBy("g").agg(*[F.first(c).alias(c) for c in MEANS], *spread)
+    cells = [(F.col(f"d{i}") * F.col(f"d{i}") if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in CELLS]
+    return scratch.written(_factored(found.select("g", *MEANS, *cells)), "robust-start")
+
+
+def concentrated(rows: DataFrame, starts: list[DataFrame], prior: DataFrame | None, floors: tuple[float, ...], subset: float, prior_rows: float, scratch: Scratch, settled: float = 1e-3) -> DataFrame:
+    """rows (g, vector): g, means, covariances, factor of the start that ends at the smallest determinant."""
+    columns = ["g", *MEANS, *COVARIANCE, *FACTOR, "log_det"]
+    now = reduce(DataFrame.unionByName, [x.select(F.lit(k).alias("start"), *columns) for k, x in enumerate(starts)])
+    first = True
+    while True:
+        far = _distance(rows, now)
+        bar = scratch.written(far.groupBy("g", "start").agg(F.percentile_approx("d2", subset, 10000).alias("bar")), "robust-bars")
+        many = bar.count() > 100_000
+        near = far.join(bar if many else F.broadcast(bar), ["g", "start"]).where(F.col("d2") <= F.col("bar"))
+        after = _moments(near, ["g", "start"], prior, floors, 1 / TRIMMED[subset], prior_rows, scratch)
+        # a start may be smaller than what any rows give; from the first step on a determinant that grows has settled
+        gain = now.select("g", "start", F.col("log_det").alias("before")).join(after, ["g", "start"]).agg(F.max(F.col("before") - F.col("log_det"))).first()[0]
+        now, done = after, not first and (gain is None or gain < settled)
+        if done or gain is None:
+            break
+        first = False
+    best = now.groupBy("g").agg(F.min_by(F.struct(*columns[1:]), F.struct("log_det", "start")).alias("best"))
+    return scratch.written(best.select("g", "best.*"), "robust-groups")
+
+
+def robust_distances(rows: DataFrame, floors: tuple[float, ...] = FLOORS, subset: float = 0.75, prior_rows: float = 50.0, scratch: Scratch | None = None) -> DataFrame:
+    """rows: lang, source and x0 to x4, a written table that is read a few times. Adds d2."""
+    scratch = scratch or Scratch(rows.sparkSession, "quality-rules")
+    keyed = scratch.written(rows.select("*", _group("lang").alias("by_lang"), _group("lang", "source").alias("by_source")), "quality-groups")
+    least = tuple(x / 10 for x in floors)
+    langs, sources = (keyed.select(F.col(c).alias("g"), *VECTOR) for c in ("by_lang", "by_source"))
+    whole = _medians(keyed.select(F.lit("").alias("g"), *VECTOR), floors, scratch).first()  # one row, or none without texts
+    if whole is None:
+        return rows.withColumn("d2", F.lit(None).cast("double"))
+    names = [*MEANS, *COVARIANCE, *FACTOR, "log_det"]
+    above = scratch.written(langs.select("g").distinct().select("g", *[F.lit(whole[c]).alias(c) for c in names]), "robust-prior")
+    by_lang = concentrated(langs, [_medians(langs, least, scratch)], above, floors, subset, prior_rows, scratch)
+    groups = keyed.select(F.col("by_lang").alias("g"), "by_source").distinct()
+    above = scratch.written(_attached(groups, by_lang).select(F.col("by_source").alias("g"), *names), "robust-prior")
+    found = concentrated(sources, [_medians(sources, least, scratch), above], above, floors, subset, prior_rows, scratch)
+    return _distance(keyed.withColumn("g", F.col("by_source")), found).select(*rows.columns, "d2")
+
+
+def judge_quality(docs: DataFrame, cutoff: float = 35.0, **options) -> DataFrame:
     """One row per row of docs: doc_id, the base statistics, base_failed, distance, kept."""
     stats = base_statistics(docs, F.col("text"), ["doc_id", "lang", "source"])
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    rows = written(stats.select(*columns, "lang", "source", *statistics_vector()), "quality-vectors")
-    rows = written(_grouped(rows, least).select(*columns, "g", *VECTOR), "quality-groups")
+    scratch = Scratch(docs.sparkSession, "quality-rules")
+    rows = scratch.written(stats.select(*columns, "lang", "source", *statistics_vector()), "quality-vectors")
     failed = (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
-    judged = robust_distances(rows, **options).select(*columns, failed.alias("base_failed"), F.col("d2").alias("distance"))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff))
+    judged = robust_distances(rows, scratch=scratch, **options).select(*columns, failed.alias("base_failed"), F.col("d2").alias("distance"))
+    judged = written(judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)), "quality")
+    scratch.remove()
+    return judged
