@@ -19,8 +19,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives the loss of any executor."""
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, of at most so many files: cuts the lineage, survives the loss of any executor."""
+    df = df if files is None else df.coalesce(files)
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -45,10 +46,11 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.paths = spark, new_path(spark, name), {}
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
-        """Like the function of that name."""
+    def written(self, df: DataFrame, name: str, level: int = 3, files: int | None = None) -> DataFrame:
+        """Like the function of that name. level: of compression; files: at most so many, for what is known to be small."""
+        df = df if files is None else df.coalesce(files)
         path = f"{self.path}/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = out, path
         return out
@@ -66,6 +68,18 @@ class Scratch:
         found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def holds(name: str, clear: Callable[[], None] = lambda: None) -> None:
+    """Says, in a Python worker, that a stage of this name begins, and how to clear what it keeps for its next tasks.
+
+    Workers serve one stage after the other; what stages of other names have kept goes."""
+    for other in [k for k in _held if k != name]:
+        _held.pop(other)()
+    _held[name] = clear
+
+
 class Cache(dict):
     """What `learn` returned for the latest `most` different texts or more, twice as many at most.
 
