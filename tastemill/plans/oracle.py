@@ -78,6 +78,24 @@ DRAWS = f"""num as (select item_id, row_number() over (order by item_id) - 1 as
     dr as (select user_id, draw, ('0x' || substr(md5('{SEED}:' || user_id || ':' || draw), 1, 8))::bigint % (select count(*) from num) as number from own_users, (select unnest(range({8 * K})) as draw)),
     fi as (select user_id, number, min(draw) as draw from dr group by 1, 2),
     ra as (select user_id, number, row_number() over (partition by user_id order by draw) as rank from fi qualify rank <= {K})"""
+def _cells(turns: int = 3) -> str:
+    """The permuted grid cells of users who are short (positions with a, b and n): x and y after all turns."""
+    cells = "select *, position // b as x, position % b as y from po"
+    for turn in range(turns):
+        for to, frm, size in (("x", "y", "a"), ("y", "x", "b")):
+            cells = f"select * replace (({to} + ('0x' || substr(md5('{SEED}:{turn}{to}:' || user_id || ':' || {frm}), 1, 8))::bigint % {size}) % {size} as {to}) from ({cells})"
+    return cells
+
+
+UNSEEN = f"""kn as (select distinct user_id, number from tr join num using (item_id)),
+    fr as (select user_id, number, draw from fi anti join kn using (user_id, number)),
+    ct as (select user_id, coalesce(old, 0) as old, coalesce(fresh, 0) as fresh from own_users left join (select user_id, count(*) as old from kn group by 1) using (user_id)
+           left join (select user_id, count(*) as fresh from fr group by 1) using (user_id)),
+    gr as (select n, b, (n + b - 1) // b as a from (select n, floor(sqrt(n - 1))::bigint + 1 as b from (select count(*) as n from num))),
+    po as (select user_id, a, b, n, unnest(range(least(old + {K} + a * b - n, a * b))) as position from ct, gr where fresh < least({K}, n - old)),
+    mo as (select user_id, x * b + y as number, position + {8 * K} as draw from ({_cells()}) where x * b + y < n),
+    un as (select user_id, number, min(draw) as draw from (from fr union all (select user_id, number, draw from mo anti join kn using (user_id, number))) group by 1, 2),
+    ur as (select user_id, number from un qualify row_number() over (partition by user_id order by draw) <= {K})"""
 USER_TOWER = f"select user_id, list_transform(range({DIM}), lambda j: [age::double, gender::double, geo::double, rank::double][(j % 4 + 1)::int] * 0.999::double) as v from us"
 ITEM_TOWER = f"""select it.item_id, list_transform(range({DIM}), lambda j: (case when emb.e is null then [author_id::double, duration::double, rank::double][(j % 3 + 1)::int]
     else 0.5::double * [author_id::double, duration::double, rank::double][(j % 3 + 1)::int] + 0.5::double * emb.e[(j + 1)::int] end) * 0.999::double) as e from it left join emb using (item_id)"""
@@ -145,7 +163,7 @@ ORACLE: dict[str, str] = {
     "lightgcn_degree": sql("ed as (select distinct user_id, item_id from tr where pos) select 'user' as side, user_id as id, count(*) as degree from ed group by 2 union all select 'item', item_id, count(*) from ed group by 2", "tr"),
     "lightgcn_propagate": sql(f"""ed as (select distinct user_id, item_id from tr where pos), du as (select user_id, count(*) as du from ed group by 1), di as (select item_id, count(*) as di from ed group by 1)
         select user_id, pos, round(sum(x / sqrt(du * di)), 6) as value from (select user_id, du, di, unnest(e) as x, unnest(range({DIM})) as pos from ed join du using (user_id) join di using (item_id) join emb using (item_id)) group by 1, 2""", "tr", "emb"),
-    "negative_candidates": sql(f"own_items as (select distinct item_id from tr), own_users as (select distinct user_id from tr), {DRAWS} select user_id, item_id from ra join num using (number) where (user_id, item_id) not in (select user_id, item_id from tr)", "tr"),
+    "negative_candidates": sql(f"own_items as (select distinct item_id from tr), own_users as (select distinct user_id from tr), {DRAWS}, {UNSEEN} select user_id, item_id from ur join num using (number)", "tr"),
     "user_sequences": sql("select user_id, count(*) as n, first(item_id order by ord) as first_item, last(item_id order by ord) as last_item, md5(string_agg(item_id::varchar, ',' order by ord)) as seq_md5 from tr group by 1", "tr"),
     "rows_per_user": sql("select user_id, count(*) as n from big group by 1", "big"),
     "user_distribution": sql("select users, \"rows\", min, round(p25, 6) as p25, round(median, 6) as median, round(mean, 6) as mean, round(p75, 6) as p75, max from (" + _stats("(select user_id, count(*) as n from big group by 1)") + ")", "big"),
@@ -158,6 +176,20 @@ ORACLE: dict[str, str] = {
     "null_profile": sql("""select unnest(['user_id', 'item_id', 'timespent', 'like']) as column_name, unnest([round(count(*) filter (user_id is null) / count(*), 6), round(count(*) filter (item_id is null) / count(*), 6),
         round(count(*) filter (nullif(timespent, 0) is null) / count(*), 6), round(count(*) filter ("like" is null) / count(*), 6)]) as null_fraction from ix""", "ix"),
     "count_distinct_items": sql("select (select count(distinct item_id) + max(case when item_id is null then 1 else 0 end) from ix)::bigint as in_interactions, (select count(distinct vec_id) from embeddings) as in_embeddings", "ix"),
+    "interaction_share": sql("select round(avg(case when h.item_id is null then 0.0 else 1.0 end), 6)::double as share from recs r left join (select distinct user_id, item_id from ho) h on r.user_id = h.user_id and r.item_id = h.item_id", "recs", "ho"),
+    "holdout_sample": sql("""select user_id, count(*) as n_items, array_to_string(list(item_id order by item_id)[1:8], ',') as items from hp
+        where user_id in (select distinct user_id from hp order by user_id limit 3) group by 1""", "hp"),
+    "holdout_merged": sql("select distinct user_id, item_id from sc where pos and week in (3, 4)", "sc"),
+    "files_profile": sql("""pf as (select week, count(*) as n, count(*) filter (pos) as p, count(*) filter (pos) / count(*) as r from sc group by 1)
+        select count(*) as files, sum(n)::bigint as "rows", sum(p)::bigint as positives, min(n)::double as rows_min, median(n) as rows_median, max(n)::double as rows_max,
+        round(min(r), 6) as positive_rate_min, round(median(r), 6) as positive_rate_median, round(max(r), 6) as positive_rate_max from pf""", "sc"),
+    "embedding_nan_fraction": sql(f"select round(sum(case when item_id % 5 = 0 then {-(-DIM // 7)} else 0 end)::double / (count(*) * {DIM}), 6) as nan_fraction from emb", "emb"),
+    "affinity_scores": sql("""cp as (select x.item_id as a, y.item_id as b, 3 * round(list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))), 6) as c from emb x join emb y on y.item_id = x.item_id + 1)
+        select a, b, case when c < -0.2 then 0 when c < 0.2 then 1 when c < 0.55 then 2 else 3 end::bigint as score from cp""", "emb"),
+    "batches_of_files": f"select file, batch, count(*) as n from (select (row_number() over () - 1) // {BATCH} as batch from events), (select unnest([0, 1])::bigint as file) group by 1, 2",
+    "core_popular": sql("""select user_id, rank, item_id, round(1.0::double - 0.9::double * (rank - 1) / ((select count(*) from it) - 1), 6) as score
+        from (select distinct user_id from hp order by user_id limit 3), it""", "hp", "it"),
+    "dsl_not_equal": sql('select user_id, count(*) as n from ix where item_id <> 7 and not "like" group by 1', "ix"),
     "dsl_filter_or": sql('select user_id, count(*) as n from ix where timespent > 20 or "like" or share or bookmark or click_on_author or open_comments group by 1', "ix"),
     "dsl_filter_and": sql('select user_id, count(*) as n from ix where timespent > 20 and not "like" and user_id is not null group by 1', "ix"),
     "dsl_not_in": sql("select user_id, count(*) as n from ix where item_id is null or item_id not in (1, 2, 3) group by 1", "ix"),
