@@ -74,8 +74,3 @@ def predicate(schema: StructType, filters: list, joined: str = "and") -> Column
 def apply_filters(df: DataFrame, filters: list, joined: str = "and") -> DataFrame:
     p = predicate(df.schema, filters, joined)
     return df if p is None else df.where(p)
-
-
-def has_columns(df: DataFrame, filters: list, user: str = "user_id") -> bool:
-    """Tables that lack the user column or a filter's column are skipped, and counted as skipped."""
-    return {user, *(f[0] for f in filters)} <= set(df.columns)

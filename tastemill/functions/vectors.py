@@ -33,10 +33,6 @@ def scaled(v: Column, by: Column) -> Column:
     return F.transform(v, lambda x: x * by)
 
 
-def blended(old: Column, new: Column, alpha: float) -> Column:
-    return F.zip_with(old, new, lambda a, b: F.lit(alpha) * a + F.lit(1 - alpha) * b)
-
-
 def checked(v: Column, dim: int) -> Column:
     """The first dim elements; an error if there are fewer."""
     return F.when(F.size(v) >= dim, F.slice(v, 1, dim)).otherwise(F.raise_error(F.lit(f"vector narrower than {dim}")).cast("array<double>"))

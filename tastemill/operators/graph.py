@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tastemill.functions.vectors import vector_sum
 from tastemill.operators.holdout import holdout_pairs
+from tastemill.sources.shared import new_path
 
 
 def degrees(ix: DataFrame) -> DataFrame:
@@ -21,6 +22,12 @@ def degrees(ix: DataFrame) -> DataFrame:
     return u.unionByName(i)
 
 
+def _written(df: DataFrame) -> DataFrame:
+    path = new_path(df.sparkSession, "graph")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def propagate(edges: DataFrame, source: DataFrame, to: str, frm: str, dim: int) -> DataFrame:
     """One layer: to's vector is the sum of its neighbours' divided by the root of both degrees."""
     d_to = edges.groupBy(to).agg(F.count(F.lit(1)).alias("d_to"))
@@ -30,9 +37,12 @@ def propagate(edges: DataFrame, source: DataFrame, to: str, frm: str, dim: int)
     return rows.groupBy(to).agg(vector_sum(F.col("embedding"), dim, w).alias("embedding"))
 
 
-def light_gcn(ix: DataFrame, items: DataFrame, dim: int, layers: int = 2, keep=lambda df: df) -> DataFrame:
-    """user vectors: the mean of the layers' propagated ones. keep: cuts lineage between layers (a checkpoint)."""
-    edges, item = holdout_pairs(ix), items
+def light_gcn(ix: DataFrame, items: DataFrame, dim: int, layers: int = 2, keep=None) -> DataFrame:
+    """user vectors: the mean of the layers' propagated ones (users have no vector of their own at layer 0).
+
+    keep cuts lineage between layers: a written table in the shared folder, unless another way is given."""
+    keep = keep or _written
+    edges, item = keep(holdout_pairs(ix)), items
     total = None
     for _ in range(layers):
         user = keep(propagate(edges, item, "user_id", "item_id", dim))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +22,9 @@ def holdout_sets(ix: DataFrame) -> DataFrame:
 
 
 def merged_holdout(*slices: DataFrame) -> DataFrame:
-    out = slices[0].select("user_id", "item_id", "timespent", "like", "share", "bookmark", "click_on_author", "open_comments")
-    for s in slices[1:]:
-        out = out.unionByName(s.select(*out.columns))
-    return holdout_pairs(out)
+    """Distinct positive pairs of several slices, whatever further columns each has."""
+    flags = ("like", "share", "bookmark", "click_on_author", "open_comments")
+    return holdout_pairs(reduce(DataFrame.unionByName, [x.select("user_id", "item_id", "timespent", *flags) for x in slices]))
 
 
 def holdout_stats(ix: DataFrame) -> DataFrame:
@@ -52,6 +53,8 @@ def user_sequences(ix: DataFrame) -> DataFrame:
     return ix.groupBy("user_id").agg(F.transform(seq, lambda x: x["item_id"]).alias("items"))
 
 
-def last_row_of_each(ix: DataFrame) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("ord"))
-    return ix.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+def sample(pairs: DataFrame, users: int = 3, items: int = 8) -> DataFrame:
+    """user_id, n_items, items: the first users in ascending id with the first of their sorted items."""
+    own = pairs.join(F.broadcast(capped_users(pairs, users)), "user_id", "left_semi")  # so many users
+    sets = own.groupBy("user_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    return sets.select("user_id", F.size("items").cast("long").alias("n_items"), F.slice("items", 1, items).alias("items"))

@@ -42,6 +42,12 @@ def coverage(recs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     return seen.join(items.agg(F.count(F.lit(1)).alias("n"))).select((F.col("c") / F.greatest("n", F.lit(1))).alias("coverage"))
 
 
+def interaction_share(recs: DataFrame, ix: DataFrame, k: int) -> DataFrame:
+    """The share of recommended rows whose user has any interaction with the item, positive or not."""
+    had = ix.select("user_id", "item_id").where("user_id is not null and item_id is not null").distinct()
+    return hits(recs, had, k).agg(F.coalesce(F.avg("hit"), F.lit(0.0)).alias("share"))
+
+
 def evaluate(recs: DataFrame, truth: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """One row: five metrics, the mean over all users with truth, and their number; zeros without any."""
     m = user_metrics(recs, truth, k).agg(*[F.coalesce(F.avg(x), F.lit(0.0)).alias(x) for x in ("precision", "recall", "map", "ndcg")], F.count(F.lit(1)).alias("n_eval_users"))

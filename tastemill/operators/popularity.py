@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.functions.feedback import score_of
+from tastemill.sources.tables import numbered
 
 
 def by_score(ix: DataFrame, least: int = 2) -> DataFrame:
@@ -45,7 +46,7 @@ def for_every_user(users: DataFrame, best: DataFrame) -> DataFrame:
 
 def numbered_items(items: DataFrame) -> DataFrame:
     """item_id and its number from 0 in ascending id."""
-    return items.select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("number"))
+    return numbered(items.select("item_id"), F.lit(0), "item_id", "place").select("item_id", (F.col("place") - 1).alias("number"))
 
 
 def draw_number(user: str, draw: str, n: int, seed: int | str):

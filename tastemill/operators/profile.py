@@ -63,9 +63,10 @@ def user_quantiles(df: DataFrame, quantiles: tuple[float, ...] = (0.01, 0.05, 0.
 
 
 def positive_or_flag(df: DataFrame):
-    """Positives of tables that have only some of the flags."""
+    """Positives of tables that have only some of the columns; without a time spent, those whose score is high."""
     have = [F.coalesce(F.col(f), F.lit(False)) for f in ("like", "share", "bookmark", "click_on_author", "open_comments") if f in df.columns]
-    out = F.coalesce(F.col("timespent") > 30, F.lit(False))
+    known = F.col("timespent") > 30 if "timespent" in df.columns else F.col("score") >= 2 if "score" in df.columns else F.lit(False)
+    out = F.coalesce(known, F.lit(False))
     for f in have:
         out = out | f
     return out
@@ -81,9 +82,44 @@ def embedding_duplicates(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(key).alias("unique_ids"), (F.count(F.lit(1)) - F.countDistinct(key)).alias("duplicates"))
 
 
-def nan_fraction(df: DataFrame, column: str = "embedding", most_rows: int = 1 << 20) -> DataFrame:
-    """Share of NaN elements in the first rows (a stated sample)."""
-    return df.limit(most_rows).select(F.explode(column).alias("x")).agg(F.avg(F.isnan("x").cast("int")).alias("nan_fraction"))
+def nan_fraction(df: DataFrame, column: str = "embedding") -> DataFrame:
+    """Share of NaN elements of all vectors."""
+    nan, n = F.size(F.filter(column, lambda x: F.isnan(x))), F.size(column)
+    sums = df.where(F.col(column).isNotNull()).agg(F.sum(nan).alias("nan"), F.sum(n).alias("n"))
+    return sums.select(F.coalesce(F.col("nan") / F.nullif("n", F.lit(0)), F.lit(0.0)).alias("nan_fraction"))
+
+
+def per_file(ix: DataFrame, file: str) -> DataFrame:
+    """file, rows, positives, positive_rate of each value of a column that names the file."""
+    rows = ix.select(F.col(file).alias("file"), positive_or_flag(ix).alias("p"))
+    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.count_if("p").alias("positives"), (F.count_if("p") / F.count(F.lit(1))).alias("positive_rate"))
+
+
+def over_files(files: DataFrame) -> DataFrame:
+    """files, total rows and positives, and minimum, median and maximum of the files' rows and rates; zeros without files."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    spread = [zero(f(c)).alias(f"{c}_{n}") for c in ("rows", "positive_rate") for n, f in (("min", F.min), ("median", F.median), ("max", F.max))]
+    whole = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows", "positives")]
+    return files.agg(F.count(F.lit(1)).alias("files"), *whole, *spread)
+
+
+def report(ix: DataFrame, file: str, items: DataFrame | None = None) -> dict:
+    """The whole profile as plain values: files, users, distinct counts, nulls, and, with items, their duplicates and NaNs."""
+    files = per_file(ix, file).orderBy("file").collect()  # one row a file
+    plain = [c for c in ix.columns if c != file]
+    out = {
+        "files": [r.asDict() for r in files],
+        "totals": over_files(per_file(ix, file)).first().asDict(),
+        "rows_per_user": distribution(rows_per_user(ix.where("user_id is not null"))).first().asDict(),
+        "user_quantiles": [r.asDict() for r in user_quantiles(ix.where("user_id is not null")).collect()],
+        "approximate_distinct": approximate_distinct(ix, ["user_id", "item_id"]).first().asDict(),
+        "null_fractions": {r["column_name"]: r["null_fraction"] for r in null_profile(ix, plain).collect()},
+    }
+    if items is not None:
+        out["items"] = embedding_duplicates(items, "item_id").first().asDict()
+        if "embedding" in items.columns:
+            out["items"] |= nan_fraction(items).first().asDict() | count_distinct_items(ix, items.where("embedding is not null")).first().asDict()
+    return out
 
 
 def approximate_distinct(df: DataFrame, columns: list[str], precision: int = 14) -> DataFrame:

@@ -1,83 +1,209 @@
-"""Cosine top-k by block matrix products.
+"""Cosine top-k by block matrix products, exact or by coarse cells.
 
-Items travel to the users as broadcast blocks of at most `block_bytes`; within one block a batch of users is
-one matrix product and a partial top-k. With several blocks their top-k lists are merged by one window, whose
-input is k rows a user and block. So no user-item pair is ever a row."""
+Items lie in blocks of at most `block_bytes`, in ascending id: one block is broadcast; more are written to the
+shared folder, and a task reads one after the other past the users that it holds. Inside a block the product is
+made in tiles, whose best k are merged into the users' best so far. So no user-item pair is ever a row, users are
+read once, and a task holds one block, one tile of scores and k numbers for each user that it holds."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.dataset
+from pyarrow import fs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tastemill.sources.shared import new_path
+
 MODES = ("bruteforce_full", "bruteforce_subset", "ann_full", "ann_subset")
+TILE_USERS, TILE_ITEMS = 512, 8192
+HELD_USERS = 16_384  # users past whom the blocks are read once
+DIGITS = 9  # scores are ranked at so many
+
+
+def supports_mode(mode: str) -> bool:
+    return mode in MODES
+
+
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(length == 0, 1, length)
+
+
+class Best:
+    """The k best items of each of some users so far. An item's place in ascending id breaks ties of rounded scores."""
+
+    def __init__(self, users: int, k: int):
+        self.k = k
+        self.code, self.item, self.score = (np.zeros((users, 0), t) for t in (np.int64, np.int64, np.float64))
+
+    def add(self, score: np.ndarray, first: int, ids: np.ndarray) -> None:
+        """Scores of all users and the items whose places are first, first + 1, ..."""
+        place = np.arange(first, first + len(ids))
+        code = (np.rint(score * 10**DIGITS).astype(np.int64) << 32) - place  # places are below 2 ** 32
+        few = min(self.k, len(ids))
+        at = np.argpartition(code, len(ids) - few, axis=1)[:, len(ids) - few :]
+        take = lambda x: np.take_along_axis(x, at, 1)
+        code = np.hstack([self.code, take(code)])
+        order = np.argsort(-code, axis=1)[:, : self.k]
+        self.code = np.take_along_axis(code, order, 1)
+        self.item = np.take_along_axis(np.hstack([self.item, ids[at]]), order, 1)
+        self.score = np.take_along_axis(np.hstack([self.score, take(score)]), order, 1)
 
 
-def top_k(users: DataFrame, items: DataFrame, k: int, block_bytes: int = 256 << 20) -> DataFrame:
-    """users (user_id, embedding), items (item_id, embedding): user_id, rank, item_id, score.
+@lru_cache(1)
+def _block(path: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    files, root = fs.FileSystem.from_uri(path)
+    t = pa.dataset.dataset(f"{root}/block={k}", filesystem=files, format="parquet").to_table(columns=["item_id", "embedding"]).sort_by("item_id")
+    return t["item_id"].to_numpy(), unit_rows(np.stack(t["embedding"].to_numpy()).astype(np.float64))
 
-    Scores are ranked at nine digits, then by item id, so rounding can't flip ties. A zero vector scores 0."""
+
+def top_k(users: DataFrame, items: DataFrame, k: int, block_bytes: int = 64 << 20, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
+    """users (keys, embedding), items (item_id, embedding): keys, rank, item_id, score.
+
+    Scores are ranked at nine digits, then by item id, so rounding can't flip ties. A zero vector scores 0. Of items
+    with equal ids each counts."""
     spark = users.sparkSession
-    unit = items.where("embedding is not null").select("item_id", "embedding")
-    n = unit.count()
+    kinds = ", ".join(f"`{c}` {users.schema[c].dataType.simpleString()}" for c in keys)
+    schema = f"{kinds}, rank long, item_id long, score double"
+    unit = items.where("embedding is not null").select(F.col("item_id").cast("long").alias("item_id"), "embedding")
+    n, dim = unit.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     if k <= 0 or n == 0:
-        return spark.createDataFrame([], "user_id long, rank long, item_id long, score double")
-    dim = unit.select(F.max(F.size("embedding"))).first()[0]
-    blocks = max(1, -(-n * dim * 8 // block_bytes))
-    parts = []
-    for b in range(blocks):  # each block's size is known before it is collected
-        own = unit if blocks == 1 else unit.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        t = own.toArrow()
-        ids = t["item_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        m = np.stack(t["embedding"].to_numpy()).astype(np.float64)[order]
-        length = np.linalg.norm(m, axis=1, keepdims=True)
-        parts.append(_block_top_k(users, spark.sparkContext.broadcast((ids[order], m / np.where(length == 0, 1, length))), k))
-    if blocks == 1:
-        return parts[0]
-    best = Window.partitionBy("user_id").orderBy(F.desc(F.round("score", 9)), "item_id")
-    merged = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(best).cast("long"))
-    return merged.where(F.col("rank") <= k)
-
-
-def _block_top_k(users: DataFrame, shared, k: int) -> DataFrame:
+        return spark.createDataFrame([], schema)
+    blocks = -(-n * dim * 8 // block_bytes)
+    if blocks == 1:  # its size is known before it is collected
+        t = unit.toArrow().sort_by("item_id")
+        shared = spark.sparkContext.broadcast((t["item_id"].to_numpy(), unit_rows(np.stack(t["embedding"].to_numpy()).astype(np.float64))))
+        starts, block = [0], lambda _: shared.value
+    else:
+        path = new_path(spark, "item-blocks")
+        dealt = unit.repartitionByRange(blocks, "item_id").withColumn("block", F.spark_partition_id())
+        dealt.write.partitionBy("block").parquet(path)
+        sizes = {r["block"]: r["count"] for r in spark.read.parquet(path).groupBy("block").count().collect()}
+        own = sorted(sizes)
+        starts, block = [sum(sizes[x] for x in own[:i]) for i in range(len(own))], lambda i: _block(path, own[i])
+
+    def ranked(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        v = unit_rows(np.stack(rows["embedding"].to_numpy()).astype(np.float64))
+        parts = [(at, Best(min(TILE_USERS, len(v) - at), k)) for at in range(0, len(v), TILE_USERS)]
+        for i, start in enumerate(starts):
+            ids, m = block(i)
+            for at, best in parts:
+                for x in range(0, len(ids), TILE_ITEMS):
+                    best.add(v[at : at + TILE_USERS] @ m[x : x + TILE_ITEMS].T, start + x, ids[x : x + TILE_ITEMS])
+        for at, best in parts:
+            few = best.item.shape[1]
+            own = rows.slice(at, len(best.item)).select(list(keys)).take(pa.array(np.repeat(np.arange(len(best.item)), few))).combine_chunks()
+            rank = np.tile(np.arange(1, few + 1), len(best.item))
+            columns = [own[c].combine_chunks() if own[c].num_chunks != 1 else own[c].chunk(0) for c in keys]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(rank), pa.array(best.item.ravel()), pa.array(best.score.ravel())], [*keys, "rank", "item_id", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, m = shared.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                v = np.stack(b.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)
-                length = np.linalg.norm(v, axis=1, keepdims=True)
-                score = (v / np.where(length == 0, 1, length)) @ m.T
-                rounded = np.round(score, 9)
-                few = min(k, len(ids))
-                bar = -np.partition(-rounded, few - 1, axis=1)[:, few - 1 : few]
-                out_user, out_rank, out_item, out_score = [], [], [], []
-                user_ids = b.column("user_id").to_numpy(zero_copy_only=False)
-                for r in range(len(v)):
-                    near = np.flatnonzero(rounded[r] >= bar[r])  # ids ascend
-                    near = near[np.argsort(-rounded[r][near], kind="stable")][:few]
-                    out_user.append(np.full(few, user_ids[r]))
-                    out_rank.append(np.arange(1, few + 1))
-                    out_item.append(ids[near])
-                    out_score.append(score[r][near])
-                columns = [np.concatenate(x) for x in (out_user, out_rank, out_item, out_score)]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.float64())], ["user_id", "rank", "item_id", "score"])
-
-    rows = users.where("embedding is not null").select("user_id", "embedding")
-    return rows.mapInArrow(run, "user_id long, rank long, item_id long, score double")
-
-
-def retrieve(mode: str, users: DataFrame, items: DataFrame, k: int, subset: DataFrame | None = None) -> DataFrame:
-    """Exact in all four modes: an index over normalised vectors returns the same as brute force.
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= (HELD_USERS if len(starts) > 1 else 1):
+                yield from ranked(held)
+                held, size = [], 0
+        if size:
+            yield from ranked(held)
+
+    return users.where("embedding is not null").select(*keys, "embedding").mapInArrow(run, schema)
+
+
+def coarse_cells(items: DataFrame, cells: int, sample: int = 50_000, steps: int = 8, seed: int = 42) -> np.ndarray:
+    """Centres of cells of unit vectors, fitted by spherical k-means on at most `sample` items, those of the smallest hashes."""
+    rows = items.where("embedding is not null").orderBy(F.xxhash64("item_id", F.lit(seed)), "item_id").limit(sample).select("embedding").toArrow()
+    m = unit_rows(np.stack(rows["embedding"].to_numpy()).astype(np.float64))
+    centres = m[:: max(1, len(m) // cells)][:cells]
+    for _ in range(steps):
+        near = np.argmax(m @ centres.T, axis=1)
+        total = np.zeros_like(centres)
+        np.add.at(total, near, m)
+        centres = np.where(np.bincount(near, minlength=len(centres))[:, None] > 0, unit_rows(total), centres)
+    return centres
+
+
+def _nearest_cells(df: DataFrame, keep: list[str], centres: np.ndarray, n: int) -> DataFrame:
+    """keep, embedding and cell: each row once for each of its n nearest cells."""
+    shared = df.sparkSession.sparkContext.broadcast(centres)  # cells * dim numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(at, 4096) for b in batches for at in range(0, b.num_rows, 4096)):
+            v = unit_rows(np.stack(b.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64))
+            near = np.argsort(-(v @ shared.value.T), axis=1, kind="stable")[:, :n]
+            rows = b.take(pa.array(np.repeat(np.arange(len(v)), near.shape[1])))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(near.ravel().astype(np.int32))], [*keep, "embedding", "cell"])
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*keep, "embedding"])
+    return df.where("embedding is not null").select(*keep, "embedding").mapInArrow(run, f"{kinds}, cell int")
+
+
+def top_k_by_cells(users: DataFrame, items: DataFrame, k: int, nprobe: int, cells: int | None = None, per_part: int = 2048) -> DataFrame:
+    """Like top_k, but a user is compared with the items of its nprobe nearest cells only, so some of the best may be missed.
+
+    Every item lies in one cell. A cell's users and items meet in parts of about `per_part` items, so a cell that
+    holds a third of all items is split; what leaves a part is k rows a user. With as many probes as cells the result is exact."""
+    spark = users.sparkSession
+    n = items.where("embedding is not null").count()
+    cells = cells or max(1, round(n**0.5))
+    if k <= 0 or n == 0:
+        return top_k(users, items, k)
+    centres = coarse_cells(items, cells)
+    dealt = _nearest_cells(items, ["item_id"], centres, 1)
+    parts = dealt.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / per_part).cast("int").alias("parts"))  # one row a cell
+    parts = spark.createDataFrame(parts.collect(), "cell int, parts int")
+    left = dealt.join(F.broadcast(parts), "cell").select("cell", F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"), F.col("item_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = _nearest_cells(users, ["user_id"], centres, nprobe).join(F.broadcast(parts), "cell")
+    right = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), F.col("user_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    # users of a hot cell are dealt over salts; its items go to each
+    salts = right.groupBy("cell").agg(F.ceil(F.countDistinct("id") / F.lit(HELD_USERS)).cast("int").alias("salts"))
+    salts = F.broadcast(spark.createDataFrame(salts.collect(), "cell int, salts int"))
+    right = right.join(salts, "cell").withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.col("salts")).cast("int"))
+    left = left.join(salts, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+
+    def meet(t: pa.Table) -> pa.Table:
+        kind, ids = t["kind"].to_numpy(), t["id"].to_numpy()
+        v = unit_rows(np.stack(t["embedding"].to_numpy()))
+        own = np.flatnonzero(kind == 0)
+        own = own[np.argsort(ids[own], kind="stable")]
+        asks = np.flatnonzero(kind == 1)
+        out = []
+        for at in range(0, len(asks), TILE_USERS) if len(own) else ():
+            who = asks[at : at + TILE_USERS]
+            best = Best(len(who), k)
+            for x in range(0, len(own), TILE_ITEMS):
+                best.add(v[who] @ v[own[x : x + TILE_ITEMS]].T, x, ids[own[x : x + TILE_ITEMS]])
+            out.append((np.repeat(ids[who], best.item.shape[1]), best.item.ravel(), best.score.ravel()))
+        columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(dict(zip(("user_id", "item_id", "score"), map(pa.array, columns))))
+
+    near = left.unionByName(right).groupBy("cell", "part", "salt").applyInArrow(meet, "user_id long, item_id long, score double")
+    return best_of(near, k)
+
+
+def best_of(found: DataFrame, k: int, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
+    """The k best rows of each of the keys, ranked as top_k does. What comes in is k rows of each part."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", DIGITS)), "item_id")
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select(*keys, "rank", "item_id", "score")
+
+
+def retrieve(mode: str, users: DataFrame, items: DataFrame, k: int, subset: DataFrame | None = None, nprobe: int | None = None) -> DataFrame:
+    """Exact in all four modes, but that `ann_full` with nprobe looks at so many coarse cells only.
 
     The subset modes need a subset; None means all items."""
-    if mode not in MODES:
+    if not supports_mode(mode):
         raise ValueError(f"unknown retrieval mode {mode!r}; known: {', '.join(MODES)}")
     if mode.endswith("_subset") and subset is not None:
         items = items.join(F.broadcast(subset.select("item_id")), "item_id", "left_semi")
+    if mode == "ann_full" and nprobe:
+        return top_k_by_cells(users, items, k, nprobe)
     return top_k(users, items, k)

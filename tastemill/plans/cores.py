@@ -4,9 +4,11 @@ A core's state is DataFrames; saving writes them as Parquet under the model's fo
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,27 +52,60 @@ class Core:
     def recommend(self, users: DataFrame, k: int, request: RetrievalRequest = RetrievalRequest()) -> DataFrame:
         """user_id, rank, item_id, score; a user without a vector has no rows."""
         mine = self.state["users"].join(users.select("user_id").distinct(), "user_id", "left_semi")
-        return retrieval.retrieve(request.mode, mine, self.state["items"], k, self._subset(request))
+        nprobe = int(request.extra.get("nprobe") or 0) if request.ann_enabled else 0
+        return retrieval.retrieve(request.mode, mine, self.state["items"], k, self._subset(request), nprobe)
+
+    def recommend_lists(self, users: DataFrame, k: int, request: RetrievalRequest = RetrievalRequest()) -> DataFrame:
+        """user_id, item_ids, scores in order of rank, for every requested user; empty lists where there is nothing."""
+        found = self.recommend(users, k, request).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id", "score"))).alias("best"))
+        rows = users.select("user_id").distinct().join(found, "user_id", "left")
+        of = lambda name, kind: F.coalesce(F.col(f"best.{name}"), F.array().cast(f"array<{kind}>")).alias(f"{name}s")
+        return rows.select("user_id", of("item_id", "long"), of("score", "double"))
 
     def _subset(self, request: RetrievalRequest) -> DataFrame | None:
         if not request.mode.endswith("_subset"):
             return None
         return popularity.item_subset(self.state["items"], request.subset_size, request.random_seed)
 
-    def export(self) -> DataFrame:
-        """user_id, embedding in ascending id."""
+    def export(self, path: str | None = None) -> DataFrame:
+        """user_id, embedding in ascending id; with a path also written there, as export_reference tells."""
         if "users" not in self.state:
             raise NotImplementedError(f"{self.name} has no user vectors")
-        return self.state["users"].orderBy("user_id")
+        return self._exported(self.state["users"], path)
+
+    @staticmethod
+    def _exported(vectors: DataFrame, path: str | None) -> DataFrame:
+        rows = vectors.select("user_id", "embedding").orderBy("user_id")
+        if path is None:
+            return rows
+        rows.write.mode("overwrite").parquet(path)
+        return vectors.sparkSession.read.parquet(path)
+
+    def export_reference(self, path: str) -> dict[str, Any]:
+        """Exports and says what lies where."""
+        row = self.export(path).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+        return {"core": self.name, "path": path, "n_users": row["n"], "embed_dim": row["dim"] or 0}
 
     def save(self, folder: str) -> None:
+        """Every table is written beside its old version, which goes only when all are written; then the state reads them."""
+        spark, mark = next(iter(self.state.values())).sparkSession, uuid.uuid4().hex
         for name, df in self.state.items():
-            df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+            df.write.parquet(f"{folder}/.{name}-{mark}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for name in self.state:
+            new = path(f"{folder}/{name}.parquet")
+            files.delete(new, True)
+            if not files.rename(path(f"{folder}/.{name}-{mark}"), new):
+                raise OSError(f"{new} could not be put in place")
+        self.load(spark, folder)
 
     def load(self, spark: SparkSession, folder: str) -> Core:
         try:
             self.state = {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in self.tables}
-        except Exception as e:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             raise FileNotFoundError(f"no {self.name} model in {folder}") from e
         return self
 
@@ -112,14 +147,16 @@ class OnlineKMeansCore(Core):
         return self.fit(data, self.state.get("centers"))
 
     def recommend(self, users: DataFrame, k: int, request: RetrievalRequest = RetrievalRequest()) -> DataFrame:
+        if not retrieval.supports_mode(request.mode):
+            raise ValueError(f"unknown retrieval mode {request.mode!r}")
         mine = self.state["centers"].join(users.select("user_id").distinct(), "user_id", "left_semi")
         items, subset = self.state["items"], self._subset(request)
         if subset is not None:
             items = items.join(F.broadcast(subset), "item_id", "left_semi")
         return kmeans.recommend(mine, items, k)
 
-    def export(self) -> DataFrame:
-        return kmeans.mean_center(self.state["centers"], self.params["embed_dim"]).orderBy("user_id")
+    def export(self, path: str | None = None) -> DataFrame:
+        return self._exported(kmeans.mean_center(self.state["centers"], self.params["embed_dim"]), path)
 
 
 class GcnCore(Core):

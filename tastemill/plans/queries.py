@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tastemill.functions import feedback, filters, vectors
 from tastemill.operators import ema, graph, holdout, kmeans, metrics, popularity, profile, retrieval, towers
-from tastemill.plans import synthetic
+from tastemill.plans import cores, synthetic
 from tastemill.sources import tables as T
 
 K, SEED, BATCH, DIM = 20, 42, 1000, T.DIM
@@ -287,6 +287,7 @@ def _filtered(rules, joined):
 
 dsl_filter_or = _filtered(filters.PRESET, "or")
 dsl_filter_and = _filtered([["timespent", ">", 20], ["like", "==", 0], ["user_id", "is_not_null", None]], "and")
+dsl_not_equal = _filtered([["item_id", "!=", 7], ["like", "!=", 1]], "and")
 dsl_not_in = _filtered([["item_id", "not_in", [1, 2, 3]]], "and")
 
 
@@ -294,6 +295,51 @@ def synthetic_interactions(s, d):
     return synthetic.generate(s, n_users=200, n_items=100, dim=32, per_user=20, seed=SEED)["interactions"]
 
 
+def interaction_share(s, d):
+    return _round(metrics.interaction_share(_popular_for_holdout(s, d), T.holdout(s, d), K), "share")
+
+
+def holdout_sample(s, d):
+    return holdout.sample(holdout.holdout_pairs(T.holdout(s, d))).withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
+
+
+def holdout_merged(s, d):
+    """Positive pairs of the last training week and the held-out one, read as two slices."""
+    return holdout.merged_holdout(T.interactions(s, d).where(F.col("week") == 3), T.holdout(s, d))
+
+
+def files_profile(s, d):
+    rates = ("positive_rate_min", "positive_rate_median", "positive_rate_max")
+    return _round(profile.over_files(profile.per_file(T.interactions(s, d), "week")), *rates)
+
+
+def embedding_nan_fraction(s, d):
+    """With every seventh element of every fifth vector made NaN."""
+    odd = F.transform("embedding", lambda x, i: F.when((F.col("item_id") % 5 == 0) & (i % 7 == 0), F.lit(float("nan"))).otherwise(x))
+    return _round(profile.nan_fraction(T.item_embeddings(s, d).withColumn("embedding", odd)), "nan_fraction")
+
+
+def affinity_scores(s, d):
+    return cosine_pairs(s, d).select("a", "b", synthetic.affinity_score(F.col("cosine") * 3).cast("long").alias("score"))
+
+
+def batches_of_files(s, d):
+    """The event table as two files, one after the other: batches restart with the second one."""
+    path = f"{d}/events.parquet"
+    rows = T.in_file_order(s, [path, path], BATCH)
+    stride = (1 << 40) // BATCH * BATCH
+    place = F.expr(f"ord div {stride}").alias("file"), F.expr(f"(ord % {stride}) div {BATCH}").alias("batch")
+    return rows.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
+
+
+def core_popular(s, d):
+    """The core on items with ranks, asked for more items than there are."""
+    items = T.items(s, d)
+    core = cores.build_core("popular").fit(cores.Dataset(T.users(s, d), items, T.train(s, d)))
+    rows = core.recommend(holdout.capped_users(holdout.holdout_pairs(T.holdout(s, d)), 3), 100_000)
+    return _round(rows, "score")
+
+
 RETRIEVALS = {f"retrieve_{m}": _retrieve(m) for m in retrieval.MODES}
 PLAIN = (
     positive_filter, feedback_score, signal_class, event_class, holdout_pairs, holdout_sets, holdout_stats, holdout_last_positive, distinct_users, eval_user_cap,
@@ -302,5 +348,6 @@ PLAIN = (
     ema_user_embedding, ema_incremental, recommend_ema, evaluate_ema, user_tower, item_tower, recommend_two_tower, kmeans_centers, kmeans_export_mean,
     recommend_kmeans, lightgcn_degree, lightgcn_propagate, negative_candidates, user_sequences, rows_per_user, user_distribution, per_week_avg_distribution,
     user_quantiles, weekly_profile, profile_rollup, null_profile, count_distinct_items, approx_users_items, synthetic_interactions,
+    interaction_share, holdout_sample, holdout_merged, files_profile, embedding_nan_fraction, affinity_scores, batches_of_files, core_popular,
 )
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in PLAIN} | RETRIEVALS | {"dsl_filter_or": dsl_filter_or, "dsl_filter_and": dsl_filter_and, "dsl_not_in": dsl_not_in}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in PLAIN} | RETRIEVALS | {"dsl_filter_or": dsl_filter_or, "dsl_filter_and": dsl_filter_and, "dsl_not_in": dsl_not_in, "dsl_not_equal": dsl_not_equal}

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 POOL = 50  # of the nearest items an interaction picks one; fixed value
@@ -19,6 +19,11 @@ def _gauss(dim: int, seed: int):
     return F.array(*[F.randn(seed + j) for j in range(dim)])
 
 
+def _uniform(seed: int):
+    """0 to 1 by the hash of the interaction's values, so it does not depend on where a row lies."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "user_id", "item_id", "affinity"), 11) / F.lit(2.0**53)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A hash of unsigned 64-bit numbers (the finaliser of splitmix64)."""
     x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
@@ -82,6 +87,12 @@ def noisy_picks(users: DataFrame, items: DataFrame, per_user: int, seed: int, bl
     return found.select("user_id", "item_id", "affinity")
 
 
+def affinity_score(affinity: Column) -> Column:
+    """0 to 3, by where the affinity, cut to -1 to 1, lies between three bounds."""
+    a = F.least(F.greatest(affinity, F.lit(-1.0)), F.lit(1.0))
+    return F.when(a < -0.2, 0).when(a < 0.2, 1).when(a < 0.55, 2).otherwise(3)
+
+
 def generate(spark: SparkSession, n_users: int = 5000, n_items: int = 2000, dim: int = 32, per_user: int = 25, seed: int = 42) -> dict[str, DataFrame]:
     """users, items and interactions. Affinity is cosine with noise for each interaction and item; each interaction picks from its own pool.
 
@@ -93,13 +104,12 @@ def generate(spark: SparkSession, n_users: int = 5000, n_items: int = 2000, dim:
     users = spark.range(n_users, numPartitions=8).select(F.col("id").alias("user_id"), normalized(_gauss(dim, seed)).alias("embedding"))
     items = spark.range(n_items, numPartitions=8).select(F.col("id").alias("item_id"), normalized(_gauss(dim, seed + dim)).alias("embedding"))
     drawn = noisy_picks(users, items, per_user, seed)
-    a = F.least(F.greatest(F.col("affinity"), F.lit(-1.0)), F.lit(1.0))
-    score = F.when(a < -0.2, 0).when(a < 0.2, 1).when(a < 0.55, 2).otherwise(3)
+    score = affinity_score(F.col("affinity"))
     kind = F.when(score >= 2, "positive").when(score == 1, "neutral").otherwise("negative")
     rows = drawn.select(
         "user_id", "item_id", score.cast("tinyint").alias("score"),
-        (F.lit(1_700_000_000) + F.floor(F.rand(seed + 2) * 14 * 86400)).cast("long").alias("timestamp"), kind.alias("event_type"),
-        (score + F.randn(seed + 3) * 0.05).cast("float").alias("event_value"),
+        (F.lit(1_700_000_000) + F.floor(_uniform(seed + 2) * 14 * 86400)).cast("long").alias("timestamp"), kind.alias("event_type"),
+        (score + F.sqrt(-2 * F.log1p(-_uniform(seed + 3))) * F.cos(_uniform(seed + 4) * 6.283185307179586) * 0.05).cast("float").alias("event_value"),
     )
     return {"users": users.select("user_id"), "items": items, "interactions": rows}
 
@@ -107,8 +117,3 @@ def generate(spark: SparkSession, n_users: int = 5000, n_items: int = 2000, dim:
 def write(spark: SparkSession, folder: str, **options) -> None:
     for name, df in generate(spark, **options).items():
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}.parquet")
-
-
-def ordered(df: DataFrame) -> DataFrame:
-    """Interactions with an order, for the folds."""
-    return df.withColumn("ord", (F.row_number().over(Window.partitionBy("user_id").orderBy("timestamp", "item_id")) - 1).cast("long"))

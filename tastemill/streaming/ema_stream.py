@@ -2,14 +2,15 @@
 
 Each micro-batch is folded by itself and joined to the state as one more affine map. States are versioned by
 batch id: batch n reads the newest version below n and writes version n, so a batch that runs again after a
-failure overwrites its own version and counts once."""
+failure overwrites its own version and counts once. The newest three versions stay."""
 
 from __future__ import annotations
 
+import logging
 import re
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tastemill.operators import ema, kmeans
 
@@ -29,10 +30,39 @@ def latest(spark: SparkSession, folder: str, below: int | None = None) -> DataFr
     return spark.read.parquet(f"{folder}/version={own[-1]}") if own else None
 
 
-def _run(stream: DataFrame, step, folder: str, checkpoint: str) -> StreamingQuery:
+class Progress(StreamingQueryListener):
+    """Logs each batch's rows and rate. `spark.streams.addListener(Progress())`."""
+
+    def __init__(self, say=logging.getLogger("tastemill.streaming").info):
+        self.say = say
+
+    def onQueryStarted(self, event) -> None:
+        self.say("stream %s began", event.id)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.say("stream %s, batch %s: %s rows, %.1f a second", p.id, p.batchId, p.numInputRows, p.processedRowsPerSecond)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.say("stream %s ended%s", event.id, f": {event.exception}" if event.exception else "")
+
+
+def _drop_before(spark: SparkSession, folder: str, version: int) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for old in _versions(spark, folder):
+        if old < version:
+            files.delete(path(f"{folder}/version={old}"), True)
+
+
+def _run(stream: DataFrame, step, folder: str, checkpoint: str, kept: int = 3) -> StreamingQuery:
     def batch(df: DataFrame, n: int) -> None:
         state = step(df, latest(df.sparkSession, folder, n))
         state.write.mode("overwrite").parquet(f"{folder}/version={n}")
+        _drop_before(df.sparkSession, folder, n - kept + 1)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
