@@ -3,7 +3,11 @@
 Language ID drops texts that no language's filters recognise; exact dedup keeps one row of equal texts; the n-gram
 join keeps one document of each group of near duplicates (five words, similarity 0.8); mixing takes each source to
 its target, whole epochs as repeated rows; packing places every token in sequences of 2048 and returns
-the pieces' token ids (little-endian u32 bytes): mixing repeats and shortens documents, so doc_id alone does not give them."""
+the pieces' token ids (little-endian u32 bytes): mixing repeats and shortens documents, so doc_id alone does not give them.
+
+Defined cases, for any columns beside those of `documents`, whatever their names: all but the last stage return the
+columns of their input. An empty table gives an empty result. Null ids, languages and sources and repeated rows are
+ordinary values; what becomes of null and empty texts each stage says."""
 
 from __future__ import annotations
 
@@ -14,22 +18,27 @@ from tastemill.llm._common import written
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null texts, texts without letters and texts that no language's filter has a fifth of go; without labelled texts all go."""
     return language_id.keep_identified(docs, min_score=0.2)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays, of rows equal in id and text one; a null text equals the empty one."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the rows with its smallest id stay; texts without words are near nothing and stay."""
     return ngram_join.drop_near_duplicates(docs, n=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without words are not taken; one text a source may be cut to its first words."""
     return mixing.apply_mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every text, a null one too, ends with the end id; longer ones than a sequence are cut."""
     return packing.pack_documents(docs, queries.tokenizer(queries.WORD_TOKENIZER), capacity=2048, keep_ids=True)
 
 
