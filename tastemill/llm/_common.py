@@ -8,8 +8,14 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tastemill.sources.shared import new_path
 
@@ -17,6 +23,7 @@ from tastemill.sources.shared import new_path
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+ROW_GROUP = 8 << 20  # bytes that a Python worker writes at a time
 
 
 def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
@@ -55,6 +62,43 @@ class Scratch:
         self.paths[id(out)] = out, path
         return out
 
+    def written_by(self, df: DataFrame, run: Callable, schema: str, name: str, level: int = 3) -> DataFrame:
+        """df.mapInArrow(run, schema) as a table, each of whose files a task's Python worker writes by itself.
+
+        A file is written under a hidden name and then renamed to that of its partition, so a task that runs again
+        leaves one file. Where Arrow does not know the file system, Spark writes."""
+        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        try:
+            fs.FileSystem.from_uri(path)
+        except (pa.ArrowInvalid, pa.ArrowNotImplementedError, ImportError, OSError):
+            return self.written(df.mapInArrow(run, schema), name, level)
+        kind = StructType.fromDDL(schema)
+        arrow = to_arrow_schema(kind)
+
+        def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            files, root = fs.FileSystem.from_uri(path)
+            files.create_dir(root, recursive=True)
+            hidden, rows = f"{root}/.{uuid.uuid4().hex}", 0
+            with pyarrow.parquet.ParquetWriter(hidden, arrow, filesystem=files, compression="zstd", compression_level=level, use_dictionary=False) as out:
+                waiting, size = [], 0
+                for b in run(batches):
+                    waiting.append(b)
+                    size += b.nbytes
+                    rows += b.num_rows
+                    if size >= ROW_GROUP:
+                        out.write_table(pa.Table.from_batches(waiting).cast(arrow))
+                        waiting, size = [], 0
+                if waiting:
+                    out.write_table(pa.Table.from_batches(waiting).cast(arrow))
+            files.move(hidden, f"{root}/part-{TaskContext.get().partitionId():07d}.parquet")
+            yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], ["rows"])
+
+        if not df.mapInArrow(store, "rows long").agg(F.sum("rows")).first()[0]:
+            return self.written(self.spark.createDataFrame([], kind), name)
+        out = self.spark.read.schema(kind).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
     def drop(self, df: DataFrame) -> None:
         """Removes a table that `written` returned."""
         self._delete(self.paths.pop(id(df))[1])

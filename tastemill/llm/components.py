@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from tastemill.llm._common import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch, most_edges: int = 1_000_000) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, most_edges: int = 1_000_000, files: int | None = None) -> DataFrame:
     """edges (u, v), longs: (node, component), the component being its smallest node. Nodes without edges are absent.
 
     Every round writes its edges to the shared folder and removes those of the round before; rounds go on until one
     changes nothing. Minima are aggregated on the map side; the joins with them read two written tables, so the
     partition of a node with very many edges is split at run time."""
-    now = _canonical(edges, scratch)
+    now = _canonical(edges, scratch, files)
     if now.count() <= most_edges:
         return now.coalesce(1).mapInArrow(_joined, "node long, component long")
     mark, before = _mark(now), None
@@ -60,10 +60,10 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + 100_000]), pa.array(nodes[label[at : at + 100_000]])], ["node", "component"])
 
 
-def _canonical(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _canonical(edges: DataFrame, scratch: Scratch, files: int | None = None) -> DataFrame:
     """Each edge once, from its larger to its smaller node."""
     pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    return scratch.written(pairs.distinct(), "edges")
+    return scratch.written(pairs.distinct(), "edges", files=files)
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -42,12 +42,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemill.llm._common import Scratch, arrow_rows, ensure_importable, written
+from tastemill.llm._common import Scratch, arrow_rows, ensure_importable, holds, written
 from tastemill.llm.components import components
 from tastemill.llm.ppm import blocks, lower_binary
 
 TILE = 256
 COLUMNS = 4096
+NARROW, WIDE = 200_000, 2_000  # rows of a file: ids and numbers, sets
 CHUNK_COLUMNS = 500_000  # of a prefix table, that are sorted together
 CHUNK_ROWS = 65_535  # so a row's number in its chunk has 16 bits
 SEVERAL = 65_535  # stands for the row where a chunk has several
@@ -103,11 +104,12 @@ def class_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def prefix_rows(rows: DataFrame, n: int, percent: int, extra: int) -> DataFrame:
+def prefix_rows(rows: DataFrame, n: int, percent: int, extra: int, scratch: Scratch) -> DataFrame:
     """doc_id, text_hash, cls (of the set), size, least (shared columns of the prefix), prefix (by hash, eight bytes each)."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("ngrams")
         for part, sets in _batches(batches, n):
             size = np.array([len(s) for s in sets], np.int64)
             least = need(size, percent)
@@ -117,7 +119,7 @@ def prefix_rows(rows: DataFrame, n: int, percent: int, extra: int) -> DataFrame:
             cls = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), cls, pa.array(size), pa.array(shared), pa.array(prefix, pa.binary())], ["doc_id", "text_hash", "cls", "size", "least", "prefix"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, cls long, size long, least long, prefix binary")
+    return scratch.written_by(rows, run, f"doc_id {kind}, text_hash long, cls long, size long, least long, prefix binary", "prefixes")
 
 
 def shared_prefixes(rows: DataFrame, columns: int, bucket_columns: int) -> DataFrame:
@@ -171,12 +173,10 @@ def shared_prefixes(rows: DataFrame, columns: int, bucket_columns: int) -> DataF
             yield flush()
 
     def meet(t: pa.Table) -> pa.Table:
-        chunk, columns, rows_, cls = (t[c].to_pylist() for c in ("chunk", "columns", "rows", "cls"))
+        """For each chunk that has columns in the bucket: its rows whose columns other chunks have too, and how many of each."""
         if t["bucket"][0].as_py() < 0:
-            size = [len(x) // 8 for x in cls]
-            row = np.concatenate([np.arange(k) for k in size])
-            n, c, k = (np.frombuffer(b"".join(x), np.int64) for x in (rows_, cls, columns))
-            return pa.table({"chunk": pa.array(np.repeat(np.array(chunk, np.int64), size)), "row": pa.array(row, pa.int64()), "n": pa.array(n), "cls": pa.array(c), "least": pa.array(k)})
+            return t.select(["chunk", "columns", "rows", "cls"])
+        chunk, columns, rows_ = (t[c].to_pylist() for c in ("chunk", "columns", "rows"))
         column, row = np.frombuffer(b"".join(columns), np.uint32), np.frombuffer(b"".join(rows_), np.uint16)
         place = np.repeat(np.arange(len(chunk)), [len(x) // 4 for x in columns])
         order = np.argsort(column, kind="stable")
@@ -184,26 +184,37 @@ def shared_prefixes(rows: DataFrame, columns: int, bucket_columns: int) -> DataF
         same = column[1:] == column[:-1]
         met = (np.concatenate([[False], same]) | np.concatenate([same, [False]])) & (row != SEVERAL)  # the others are counted already
         pairs, n = np.unique((place[met] << 16) | row[met], return_counts=True)
-        nothing = pa.nulls(len(pairs), pa.int64())
-        return pa.table({"chunk": pa.array(np.array(chunk, np.int64)[pairs >> 16]), "row": pa.array(pairs & 65_535, pa.int64()), "n": pa.array(n.astype(np.int64)), "cls": nothing, "least": nothing})
+        edges = np.searchsorted(pairs >> 16, np.arange(len(chunk) + 1))
+        own = np.flatnonzero(np.diff(edges))
+        part = lambda x, kind: pa.array([x[edges[k] : edges[k + 1]].astype(kind).tobytes() for k in own], pa.binary())
+        return pa.table({"chunk": pa.array(np.array(chunk, np.int64)[own]), "columns": part(n, np.int64), "rows": part(pairs & 65_535, np.uint16), "cls": pa.array([empty] * len(own), pa.binary())})
+
+    def decide(t: pa.Table) -> pa.Table:
+        """A chunk's classes with enough shared columns: those of its own rows' sums and of all buckets."""
+        numbers, rows_, cls = (t[c].to_pylist() for c in ("columns", "rows", "cls"))
+        home = max(range(len(cls)), key=lambda k: len(cls[k]))
+        total, least = np.frombuffer(rows_[home], np.int64).copy(), np.frombuffer(numbers[home], np.int64)
+        for k in range(len(cls)):
+            if k != home:
+                np.add.at(total, np.frombuffer(rows_[k], np.uint16), np.frombuffer(numbers[k], np.int64))
+        return pa.table({"cls": pa.array(np.frombuffer(cls[home], np.int64)[total >= least])})
 
     dealt = rows.select("cls", "least", "prefix").mapInArrow(deal, "bucket long, chunk long, columns binary, rows binary, cls binary")
-    told = dealt.groupBy("bucket").applyInArrow(meet, "chunk long, row long, n long, cls long, least long")
-    counts = told.groupBy("chunk", "row").agg(F.sum("n").alias("n"), F.max("cls").alias("cls"), F.max("least").alias("least"))
-    return counts.where("n >= least").select("cls")
+    told = dealt.groupBy("bucket").applyInArrow(meet, "chunk long, columns binary, rows binary, cls binary")
+    return told.groupBy("chunk").applyInArrow(decide, "cls long")
 
 
-def candidate_edges(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def candidate_edges(sets: DataFrame, percent: int, few: int, scratch: Scratch) -> DataFrame:
     """(u, v): classes that share one of their rarest columns, each tied to the column's smallest class.
 
     sets: (cls, size, grams), one row of each class."""
     incidence = sets.select("cls", "size", F.explode("grams").alias("h"))
-    often = scratch.written(incidence.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-columns")
+    often = scratch.written(incidence.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-columns", files=few)
     shared = incidence.join(_small(often), "h")
     own = Window.partitionBy("cls")
     shared = shared.select("cls", "h", F.ceil(F.col("size") * percent / 100).alias("need"), F.count(F.lit(1)).over(own).alias("r"), F.row_number().over(own.orderBy("n", "h")).alias("place"))
-    found = scratch.written(shared.where("place <= r - need + 1").select("cls", "h"), "rare-columns")
-    heads = scratch.written(found.groupBy("h").agg(F.min("cls").alias("v")), "column-heads")
+    found = scratch.written(shared.where("place <= r - need + 1").select("cls", "h"), "rare-columns", files=few)
+    heads = scratch.written(found.groupBy("h").agg(F.min("cls").alias("v")), "column-heads", files=few)
     return found.join(heads, "h").where("cls <> v").select(F.col("cls").alias("u"), "v")
 
 
@@ -299,33 +310,36 @@ def near_components(docs: DataFrame, n: int = 4, percent: int = 85, extra: int =
     with arrow_rows(spark):
         text = lower_binary(F.col(text_col))
         rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), text.alias("text"))
-        wide = scratch.written(prefix_rows(rows, n, percent, extra), "prefixes")
-        each = written(wide.select("doc_id", "text_hash", "cls", "size"), "ngram-rows")
-        classes = scratch.written(each.where("size > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "ngram-classes")
-        sets = _sets_left(rows, wide, classes, n, extra, percent, bucket_columns, scratch)
-        clusters = scratch.written(components(candidate_edges(sets, percent, scratch), scratch), "clusters").select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
-        links = _cluster_links(sets, clusters, percent, block_rows, block_bytes, scratch)
-        found = scratch.written(components(links, scratch), "components")
+        wide = prefix_rows(rows, n, percent, extra, scratch)
+        all_rows, columns = wide.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0)) / 8).first()
+        files = 1 + all_rows // NARROW  # of narrow tables
+        each = written(wide.select("doc_id", "text_hash", "cls", "size"), "ngram-rows", files)
+        classes = scratch.written(each.where("size > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "ngram-classes", files=files)
+        sets, few = _sets_left(rows, wide, classes, n, percent, int(columns), bucket_columns, files, scratch)
+        edges = candidate_edges(sets, percent, few, scratch)
+        clusters = scratch.written(components(edges, scratch, files=few), "clusters", files=few).select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
+        links = _cluster_links(sets, clusters, percent, block_rows, block_bytes, few, scratch)
+        found = scratch.written(components(links, scratch, files=few), "components", files=few)
         named = found.join(classes.select(F.col("cls").alias("node"), "first_id"), "node")
-        names = scratch.written(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "component-names")
+        names = scratch.written(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "component-names", files=few)
         of_class = found.join(names, "component").select(F.col("node").alias("cls"), "component_id")
-        labels = written(classes.join(of_class, "cls", "left").select("cls", F.coalesce("component_id", "first_id").alias("component_id")), "class-components")
+        labels = written(classes.join(of_class, "cls", "left").select("cls", F.coalesce("component_id", "first_id").alias("component_id")), "class-components", files)
     scratch.remove()
     # two written tables: the partition of a class with very many copies is split at run time
     full = each.where("size > 0").join(labels, "cls").select("doc_id", "text_hash", F.col("size").alias("n_shingles"), "component_id")
     return full.unionByName(each.where("size = 0").select("doc_id", "text_hash", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _sets_left(rows: DataFrame, wide: DataFrame, classes: DataFrame, n: int, extra: int, percent: int, bucket_columns: int, scratch: Scratch) -> DataFrame:
-    """cls, size, grams of the classes whose prefixes leave a link possible, one row of each."""
+def _sets_left(rows: DataFrame, wide: DataFrame, classes: DataFrame, n: int, percent: int, columns: int, bucket_columns: int, files: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """cls, size, grams of the classes whose prefixes leave a link possible, one row of each; how many files suit tables of them."""
     own = wide.where("size > 0").select("cls", "least", "prefix")
     copied = _small(classes.where("copies > 1").select("cls"))
     # one row of each class; of all rows only those of classes that have copies are shuffled
-    once = scratch.written(own.join(copied, "cls", "left_semi").dropDuplicates(["cls"]), "copied-classes")
+    once = scratch.written(own.join(copied, "cls", "left_semi").dropDuplicates(["cls"]), "copied-classes", files=files)
     once = own.join(copied, "cls", "left_anti").unionByName(once)
-    columns = wide.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
-    left = scratch.written(shared_prefixes(once, columns // 8, bucket_columns), "rows-left")
-    wanted = scratch.written(classes.join(_small(left), "cls", "left_semi").select("cls", "first_id"), "wanted")
+    left = scratch.written(shared_prefixes(once, columns, bucket_columns), "rows-left", files=files)
+    few = 1 + left.count() // WIDE
+    wanted = scratch.written(classes.join(_small(left), "cls", "left_semi").select("cls", "first_id"), "wanted", files=files)
     scratch.drop(wide)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,18 +354,18 @@ def _sets_left(rows: DataFrame, wide: DataFrame, classes: DataFrame, n: int, ext
     again = rows.join(_small(ids), rows["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
     made = again.mapInArrow(sets, "cls long, size long, grams array<long>").join(_small(wanted.select("cls")), "cls", "left_semi")
     made = scratch.written(made, "sets")
-    twice = scratch.written(made.groupBy("cls").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("cls"), "sets-twice")
+    twice = scratch.written(made.groupBy("cls").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("cls"), "sets-twice", files=few)
     if twice.isEmpty():
-        return made
+        return made, few
     twice = _small(twice)  # rows of one id and equal sets
-    return scratch.written(made.join(twice, "cls", "left_anti").unionByName(made.join(twice, "cls", "left_semi").dropDuplicates(["cls"])), "sets")
+    return scratch.written(made.join(twice, "cls", "left_anti").unionByName(made.join(twice, "cls", "left_semi").dropDuplicates(["cls"])), "sets"), few
 
 
-def _cluster_links(sets: DataFrame, clusters: DataFrame, percent: int, block_rows: int, block_bytes: int, scratch: Scratch) -> DataFrame:
+def _cluster_links(sets: DataFrame, clusters: DataFrame, percent: int, block_rows: int, block_bytes: int, few: int, scratch: Scratch) -> DataFrame:
     """All links inside candidate clusters, by spanning forests."""
-    members = scratch.written(clusters.join(sets.select("cls", (F.col("size") * 8).alias("bytes")), "cls"), "cluster-members")
+    members = scratch.written(clusters.join(sets.select("cls", (F.col("size") * 8).alias("bytes")), "cls"), "cluster-members", files=few)
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("all_bytes"))
-    sizes = scratch.written(sizes.withColumn("parts", F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("all_bytes") / block_bytes)).cast("long")), "cluster-sizes")
+    sizes = scratch.written(sizes.withColumn("parts", F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("all_bytes") / block_bytes)).cast("long")), "cluster-sizes", files=few)
     sized = members.select("cluster", "cls").join(_small(sizes), "cluster")
     total = sizes.agg(F.sum("all_bytes"), F.sum("rows"), F.max("parts")).first()
     groups = max(1, -(-(total[0] or 0) // block_bytes), -(-(total[1] or 0) // block_rows))
@@ -362,21 +376,21 @@ def _cluster_links(sets: DataFrame, clusters: DataFrame, percent: int, block_row
     links = scratch.written(block_links(alone, sets, percent, scratch), "links")
     if (total[2] or 0) <= 1:
         return links
-    large = scratch.written(sized.where("parts > 1").withColumn("chunk", chunk), "large-clusters")
-    links = links.unionByName(_pivot_links(large, sets, links, percent, block_rows, scratch))
+    large = scratch.written(sized.where("parts > 1").withColumn("chunk", chunk), "large-clusters", files=few)
+    links = links.unionByName(_pivot_links(large, sets, links, percent, block_rows, few, scratch))
     links = scratch.written(links, "links")
-    return links.unionByName(_outside_links(large, sets, links, percent, block_rows, scratch))
+    return links.unionByName(_outside_links(large, sets, links, percent, block_rows, few, scratch))
 
 
-def _labelled(large: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+def _labelled(large: DataFrame, links: DataFrame, few: int, scratch: Scratch) -> DataFrame:
     """large with the component of each row so far."""
-    label = scratch.written(components(links, scratch), "labels").select(F.col("node").alias("cls"), F.col("component").alias("label"))
-    return scratch.written(large.join(_small(label), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
+    label = scratch.written(components(links, scratch, files=few), "labels", files=few).select(F.col("node").alias("cls"), F.col("component").alias("label"))
+    return scratch.written(large.join(_small(label), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled", files=few)
 
 
-def _pivot_links(large: DataFrame, grams: DataFrame, links: DataFrame, percent: int, block_rows: int, scratch: Scratch) -> DataFrame:
+def _pivot_links(large: DataFrame, grams: DataFrame, links: DataFrame, percent: int, block_rows: int, few: int, scratch: Scratch) -> DataFrame:
     """One row of each component with half a block or more, against every chunk of its cluster."""
-    now = _labelled(large, links, scratch)
+    now = _labelled(large, links, few, scratch)
     count = now.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("cls")).where(F.col("n") >= block_rows // 2)
     pivots = now.join(_small(count.select("cls")), "cls", "left_semi")
     pivots = pivots.select("cluster", "cls", "label", "parts", F.col("chunk").alias("home")).withColumn("chunk", F.explode(F.expr("sequence(0L, parts - 1)"))).where("chunk <> home")
@@ -386,11 +400,11 @@ def _pivot_links(large: DataFrame, grams: DataFrame, links: DataFrame, percent:
     return block_links(chunks.unionByName(pivots.select(block.alias("block"), *columns, F.lit(True).alias("is_left"))), grams, percent, scratch)
 
 
-def _outside_links(large: DataFrame, grams: DataFrame, links: DataFrame, percent: int, block_rows: int, scratch: Scratch) -> DataFrame:
+def _outside_links(large: DataFrame, grams: DataFrame, links: DataFrame, percent: int, block_rows: int, few: int, scratch: Scratch) -> DataFrame:
     """Rows outside their cluster's largest component, in groups, against all other groups and that component's chunks."""
-    now = _labelled(large, links, scratch)
+    now = _labelled(large, links, few, scratch)
     count = now.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = scratch.written(count.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all")), "main-components")
+    main = scratch.written(count.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all")), "main-components", files=few)
     main = main.select("cluster", F.col("m.label").alias("main"), F.ceil((F.col("all") - F.col("m.n")) / block_rows).alias("groups")).where("groups > 0")
     now = now.join(_small(main), "cluster")
     outside = now.where("label <> main").withColumn("g", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("groups")))

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastemill.llm._common import Scratch, arrow_rows, ensure_importable, written
+from tastemill.llm._common import Scratch, arrow_rows, ensure_importable, holds, written
 
 ORDER = 5
 SYMBOL_BITS = 9  # a byte, or 256 for the end
@@ -162,12 +162,13 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
 
 
-def batches_of(rows: DataFrame, batch_bytes: int) -> DataFrame:
+def batches_of(rows: DataFrame, batch_bytes: int, scratch: Scratch) -> DataFrame:
     """batch, kind, n, data, counts. kind 0: a batch's n keys of full order, and how often training texts have
     them; kind 1: its words likewise; kind 2: some of its rows, as a compressed Arrow batch."""
     ensure_importable(rows.sparkSession)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("batches")
         number, size, parts, fresh = TaskContext.get().partitionId() << 24, 0, ([], []), [0, 0]
 
         def row(kind: int, n: int, data: bytes, counts: bytes | None) -> pa.RecordBatch:
@@ -207,7 +208,7 @@ def batches_of(rows: DataFrame, batch_bytes: int) -> DataFrame:
                 number, size = number + 1, 0
         yield from close()
 
-    return rows.mapInArrow(run, "batch long, kind int, n long, data binary, counts binary")
+    return scratch.written_by(rows, run, "batch long, kind int, n long, data binary, counts binary", "batches")
 
 
 def corpus_counts(batches: DataFrame) -> DataFrame:
@@ -426,7 +427,7 @@ def key_scores(batches: DataFrame, model: dict, group_keys: int = 3_000_000) ->
 
     def tell(t: pa.Table) -> pa.Table:
         kind, s = t["kind"][0].as_py(), t["slice"][0].as_py()
-        (trie_slice if kind else word_slice).cache_clear()
+        holds(*(("words-slice", word_slice.cache_clear) if kind else ("trie-slice", trie_slice.cache_clear)))
         out = []
         for n, data in zip(t["n"].to_pylist(), t["data"].to_pylist()):
             keys = unpacked(data, n)
@@ -448,8 +449,7 @@ def score(batches: DataFrame, model: dict, kind: str) -> DataFrame:
     """doc_id (of type kind), held_out, n_tokens, n_known, train_tokens, base_score, score: each batch's rows by its keys' scores."""
 
     def finish(t: pa.Table) -> pa.Table:
-        trie_slice.cache_clear()  # of the stage before
-        word_slice.cache_clear()
+        holds("finish")
         rows = {k: [] for k in range(5)}
         for k, n, data in zip(t["kind"].to_pylist(), t["n"].to_pylist(), t["data"].to_pylist()):
             rows[k].append((n, data))
@@ -500,7 +500,7 @@ def score_documents(docs: DataFrame, held_out, batch_bytes: int = 16 << 20, **op
     scratch = Scratch(docs.sparkSession, "ppm")
     rows = docs.select("doc_id", held_out.alias("held_out"), lower_binary(F.col("text")).alias("text"))
     with arrow_rows(docs.sparkSession):
-        batches = scratch.written(batches_of(rows, batch_bytes), "batches")
+        batches = batches_of(rows, batch_bytes, scratch)
         model = build_model(batches, scratch, **options)
         out = written(score(batches, model, rows.schema["doc_id"].dataType.simpleString()), "ppm-scores")
     scratch.remove()

@@ -471,7 +471,7 @@ def test_hot_suffixes_are_split(spark):
     text = "".join(rng.choice(list("abcdefgh"), 4000)) + "".join(x + "e" for x in rng.choice(list("abcdefgh"), 4000))
     rows = docs(spark, [text, prose(2, 300)]).select("doc_id", F.lit(False).alias("held_out"), F.col("text").cast("binary").alias("text"))
     scratch = Scratch(spark, "test")
-    batches = scratch.written(ppm.batches_of(rows, 1 << 20), "batches")
+    batches = ppm.batches_of(rows, 1 << 20, scratch)
     model = ppm.build_model(batches, scratch, slice_nodes=500)
     sizes = {r["slice"]: r["count"] for r in spark.read.parquet(f"{model['path']}/nodes").groupBy("slice").count().collect()}
     split = 1 + sum(len(x) for _, x, _ in model["leaves"]) // 2
