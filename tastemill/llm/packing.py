@@ -23,7 +23,7 @@ empty result. Other columns are not read."""
 from __future__ import annotations
 
 import os
-import re
+import string
 import sys
 import zlib
 from array import array
@@ -34,66 +34,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemill.llm._common import ensure_importable, pow2_at_least, written
+from tastemill.llm._common import Cache, Scratch, arrow_rows, ensure_importable, holds, pow2_at_least
 from tastemill.llm.token_counts import byte_letters
 
-CACHE_WORDS = 1_000_000
-MARKS = ",.;:!?"
+CACHE_WORDS = 250_000
+CACHE_TAILS = 10_000
+MARKS = "".join(c for c in string.punctuation if c != "'")  # neither letters nor numbers, and no part of a contraction
 LATIN_END = "\u0250"  # letters below it are letters to every version of Unicode
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+ODD_SPACE = "\x1c\x1d\x1e\x1f"  # white space to Python alone
 
 
-class WordEncoder(dict):
-    """word -> its ids as little-endian unsigned 32-bit bytes; a bounded cache."""
+class WordEncoder:
+    """Texts to ids as little-endian unsigned 32-bit bytes, by way of words that are remembered."""
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.letters = {b: c for b, c in byte_letters().items() if b >= 128 or chr(b) != c}
-        for w in ("a", "the", "ueber", "\u00fcber", "\u0153uvre", "stra\u00dfe", "ni\u00f1o"):
-            direct = [t.id for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(self.letters))]
-            if direct != self.tokenizer.encode(w.upper() if w.isascii() else w, add_special_tokens=False).ids:
-                raise ValueError("the tokenizer does not lower case and cut words as this encoder expects")
         if array("I").itemsize != 4 or sys.byteorder != "little":
             raise RuntimeError("unsigned 32-bit little-endian arrays are needed")
+        self.words, self.tails = Cache(self.word, CACHE_WORDS), Cache(self.whole, CACHE_TAILS)
+        for w in ("a", "the", "ueber", "\u00fcber", "\u0153uvre", "stra\u00dfe", "ni\u00f1o"):
+            if self.words[w] != self.whole(w.upper() if w.isascii() else w):
+                raise ValueError("the tokenizer does not lower case and cut words as this encoder expects")
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Words of Latin letters with at most one mark behind them are learnt by their lower-case letters,
+    def word(self, w: str) -> bytes:
+        """Words of Latin letters and then marks are learnt by their lower-case letters,
         as the tokenizer lowers case and cuts between letters and marks: its merges run on the bytes' letters. Other
         words go through all of the tokenizer. The constructor checks on samples that both ways agree."""
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        other, composed, model = [], [], self.tokenizer.model
-        for w in words:
-            if w in self:
-                continue
-            stem, mark = (w[:-1], w[-1]) if w[-1] in MARKS else (w, "")
-            if not stem.isalpha() or max(stem) >= LATIN_END or "\u0130" in stem:
-                other.append(w)
-                continue
+        stem = w.rstrip(MARKS)
+        if stem.isalpha() and (stem.isascii() or max(stem) < LATIN_END and "\u0130" not in stem):
             low = stem.lower()
-            if low not in self:
-                letters = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
-                self[low] = array("I", [t.id for t in model.tokenize(letters)]).tobytes()
-            if mark or low != w:
-                composed.append((w, low, mark))
-        other += [m for m in MARKS if m not in self]
-        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            self[w] = array("I", e.ids).tobytes()
-        for w, low, mark in composed:
-            self[w] = self[low] + self[mark] if mark else self[low]
+            letters = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            return ids + self.tails[w[len(stem) :]] if len(stem) < len(w) else ids
+        return self.whole(w)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """All words of the texts are cached while they are joined."""
-        split = [None if ODD_SPACE.search(t) else t.split() for t in texts]
-        self.learn(set().union(*[s for s in split if s]))
-        whole = lambda t: array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
-        return [whole(t) if s is None else b"".join(map(self.__getitem__, s)) for t, s in zip(texts, split)]
+        return [self.whole(t) if any(c in t for c in ODD_SPACE) else b"".join(map(self.words.__getitem__, t.split())) for t in texts]
 
 
 @lru_cache(2)
@@ -102,13 +88,14 @@ def encoder_of(path: str) -> WordEncoder:
 
 
 def token_pieces(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32 and, if wanted, ids (little-endian u32 bytes)."""
+    """A written table with one row per piece: doc_id, piece, start, length, ids_crc32 and, if wanted, ids (little-endian u32 bytes)."""
     ensure_importable(df.sparkSession)
     kind = df.schema[id_col].dataType
     end, width = int(end_id).to_bytes(4, "little"), 4 * capacity
     schema = f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("words", encoder_of.cache_clear)
         encoder = encoder_of(tokenizer)
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -130,7 +117,9 @@ def token_pieces(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: in
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
                 yield pa.RecordBatch.from_arrays(out + [pa.array(ids, pa.binary())] * keep_ids, names)
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    with arrow_rows(df.sparkSession):
+        return Scratch(df.sparkSession, "packing").written_by(texts, run, schema, "pieces")
 
 
 def fullest(counts: dict[int, int], room: int) -> list[int]:
@@ -216,4 +205,4 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
 def pack_documents(df: DataFrame, tokenizer: str, capacity: int = 2048, **options) -> DataFrame:
     """Tokenises once into a written table, then packs."""
-    return pack(written(token_pieces(df, tokenizer, capacity, **options), "pieces"), capacity)
+    return pack(token_pieces(df, tokenizer, capacity, **options), capacity)

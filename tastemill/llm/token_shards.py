@@ -174,7 +174,7 @@ def encoder_of(path: str, width: int) -> ChunkEncoder:
     return ChunkEncoder(path, width)
 
 
-def token_documents(df: DataFrame, tokenizer: str, end_id: int, width: int, id_col: str, text_col: str) -> DataFrame:
+def token_documents(df: DataFrame, tokenizer: str, end_id: int, width: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """doc_id, crc (of all ids), size (bytes) and ids (the end id last), task, place: where the row came in the scan."""
     ensure_importable(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
@@ -190,7 +190,8 @@ def token_documents(df: DataFrame, tokenizer: str, end_id: int, width: int, id_c
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "crc", "size", "ids", "task", "place"])
             place += n
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, crc long, size long, ids binary, task int, place long")
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return scratch.written_by(texts, run, f"doc_id {kind}, crc long, size long, ids binary, task int, place long", "documents", STORED)
 
 
 def first_numbers(documents: DataFrame, stride: int, to: str) -> int:
@@ -221,7 +222,7 @@ def write_shards(df: DataFrame, tokenizer: str, key: str, length: int = 256, end
     scratch = Scratch(spark, "token-shards")
     stride, pad = length * width, int(end_id).to_bytes(width, "little")
     with arrow_rows(spark):
-        documents = scratch.written(token_documents(df, tokenizer, end_id, width, id_col, text_col), "documents", STORED)
+        documents = token_documents(df, tokenizer, end_id, width, id_col, text_col, scratch)
         firsts = f"{scratch.path}/first-numbers"
         total = first_numbers(documents, stride, firsts)
         kind = documents.schema["doc_id"].dataType.simpleString()
