@@ -23,13 +23,14 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastemill.llm._common import ensure_importable
+from tastemill.llm._common import Cache, ensure_importable, holds
 
 #: Characters with the Unicode property White_Space. Fixed values.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -41,11 +42,10 @@ CACHE_PAIRS = 1_000_000
 CACHE_BYTES = 64  # longer chunks and pieces are computed anew
 
 
-class Counter(dict):
-    """chunk -> tokens of it; pieces' prefix counts by the dynamic programme. A bounded cache."""
+class Counter:
+    """Tokens of chunks, by pieces' prefix counts from the dynamic programme. The caches are bounded."""
 
     def __init__(self, path: str):
-        super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
@@ -62,7 +62,7 @@ class Counter(dict):
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.alone: dict[bytes, bool] = {}
         self.made: dict[bytes, tuple[int, bytes, bytes]] = {}
-        self.known: dict[str, int] = {}
+        self.known, self.chunks = Cache(self.piece, CACHE_CHUNKS, CACHE_BYTES), Cache(self.pieces, CACHE_CHUNKS, CACHE_BYTES)
 
     def merged(self, data: bytes) -> tuple[list[bytes], tuple[bytes, bytes] | None]:
         """The encoding of a few bytes, always merging the first of the best-ranked pairs; the last pair merged."""
@@ -138,27 +138,12 @@ class Counter(dict):
                         break
         return counts
 
+    def piece(self, x: str) -> int:
+        data = x.encode()
+        return 1 if data in self.tokens and self.stands(data) else self.prefix_counts(data)[-1]
+
     def pieces(self, chunk: str) -> int:
-        total, known = 0, self.known
-        for x in self.piece_re.findall(chunk):
-            n = known.get(x)
-            if n is None:
-                data = x.encode()
-                n = 1 if data in self.tokens and self.stands(data) else self.prefix_counts(data)[-1]
-                if len(x) <= CACHE_BYTES:
-                    if len(known) >= CACHE_CHUNKS:
-                        known.clear()
-                    known[x] = n
-            total += n
-        return total
-
-    def __missing__(self, chunk: str) -> int:
-        n = self.pieces(chunk)
-        if len(chunk) <= CACHE_BYTES:
-            if len(self) >= CACHE_CHUNKS:
-                self.clear()
-            self[chunk] = n
-        return n
+        return sum(map(self.known.__getitem__, self.piece_re.findall(chunk)))
 
     def segments(self, text: str) -> Iterator[tuple[str, bool]]:
         """The text cut at special strings; whether a part is one."""
@@ -171,10 +156,25 @@ class Counter(dict):
         if at < len(text):
             yield text[at:], False
 
+    def running(self, text: str) -> tuple[list[str], list[int]]:
+        """The text's chunks, and the tokens of the prefix that ends with each."""
+        if any(s in text for s in self.special):
+            table = PrefixTable(self, text)
+            return [text[a:b] for a, b in zip(table.ends, table.ends[1:])], table.totals[1:]
+        chunks = self.chunk_re.findall(text)
+        return chunks, list(accumulate(map(self.chunks.__getitem__, chunks)))
+
+    def within(self, text: str, limit: int) -> tuple[int, int]:
+        """Tokens of the text, and the characters of its longest prefix of whole chunks that has at most `limit`."""
+        chunks, totals = self.running(text)
+        if not totals or totals[-1] <= limit:
+            return totals[-1] if totals else 0, len(text)
+        return totals[-1], sum(map(len, chunks[: bisect_right(totals, limit)]))
+
     def count(self, text: str) -> int:
         if not any(s in text for s in self.special):
-            return sum(map(self.__getitem__, self.chunk_re.findall(text)))
-        return sum(1 if special else sum(map(self.__getitem__, self.chunk_re.findall(part))) for part, special in self.segments(text))
+            return sum(map(self.chunks.__getitem__, self.chunk_re.findall(text)))
+        return sum(1 if special else sum(map(self.chunks.__getitem__, self.chunk_re.findall(part))) for part, special in self.segments(text))
 
 
 def byte_letters() -> dict[int, str]:
@@ -192,7 +192,7 @@ class PrefixTable:
         for part, special in counter.segments(text):
             for chunk in [part] if special else counter.chunk_re.findall(part):
                 self.ends.append(self.ends[-1] + len(chunk))
-                self.totals.append(self.totals[-1] + (1 if special else counter[chunk]))
+                self.totals.append(self.totals[-1] + (1 if special else counter.chunks[chunk]))
                 self.special.append(special)
 
     def count(self, chars: int) -> int:
@@ -222,19 +222,22 @@ def counter_of(path: str) -> Counter:
 
 
 def count_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
-    """One row per row of df: the id, n_bytes, n_tokens, over_limit.
+    """One row per row of df: the id, n_bytes, n_tokens, over_limit, and fit_chars: the length of the longest prefix
+    of whole chunks with at most `limit` tokens, read off the text's running counts.
 
     tokenizer: path of a byte-level BPE file, readable by every executor."""
     ensure_importable(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter_of(tokenizer).count
+        holds("counts", counter_of.cache_clear)
+        within = counter_of(tokenizer).within
         for b in batches:
-            tokens = [count(x.as_py()) for x in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), pa.array(tokens, pa.int64())], ["id", "n_bytes", "n_tokens"])
+            found = [within(x.as_py(), limit) for x in b.column("text")]
+            tokens, fit = (pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), tokens, fit], ["id", "n_bytes", "n_tokens", "fit_chars"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    out = rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
-    return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    out = rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, fit_chars long")
+    return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fit_chars")
