@@ -8,9 +8,10 @@ in one array: slot s holds a bit mask with one bit per language; an n-gram sets
 and language the set bits are counted and corrected for the filter's false positives (its share of
 set bits to the power HASHES); the largest count decides.
 
-Bounds: at most 1 / min_share n-grams per language enter the filters, whatever the size of the corpus,
-so the table that reaches the driver and the array that is broadcast are bounded by
-`max_languages / min_share` rows and by `slots`. The counting itself covers all training rows.
+Bounds: at most 1 / min_share n-grams per language enter the filters, whatever the size of the corpus, so the table
+that reaches the driver has at most languages / min_share rows, and the array that is broadcast 16 slots a row (`slots`
+at least). The counting itself covers all training rows. min_share = contrast = 0 leaves no n-gram out; the
+table then has as many rows as there are different n-grams of a language.
 
 Defined cases: a text that is null or has no letter gets `und` and score 0; without training rows every text
 does. Ties go to the first language in code point order. Very long texts are read in windows, wholly. Texts
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tastemill.llm._common import ensure_importable
+from tastemill.llm._common import Scratch, ensure_importable, holds, pow2_at_least
 
 HASHES = 3
 WINDOW = 1 << 20  # bytes that are looked up at once
@@ -58,6 +59,7 @@ def count_grams(train: DataFrame) -> DataFrame:
     ensure_importable(train.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("grams")
         found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
         def add(lang: str, parts: list[bytes]) -> None:
@@ -138,20 +140,21 @@ class Filters:
         return self.languages[best], float(min(1.0, max(0.0, real[best] / total)))
 
 
-def train_filters(train: DataFrame, slots: int = 1 << 21, min_share: float = 1e-5, contrast: float = 0.2, max_languages: int = 256) -> Filters:
-    """train: (text, lang). Nulls in either are left out."""
-    counts = count_grams(train)
-    totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).limit(max_languages + 1).collect()}
-    if len(totals) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    filters = Filters(sorted(totals), slots)
+def train_filters(train: DataFrame, slots: int = 1 << 21, min_share: float = 1e-5, contrast: float = 0.2) -> Filters:
+    """train: (text, lang). Nulls in either are left out. slots: at least so many (a power of two)."""
+    scratch = Scratch(train.sparkSession, "language-id")
+    counts = scratch.written(count_grams(train), "gram-counts")
+    totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}  # one row a language
     if not totals:
-        return filters
+        scratch.remove()
+        return Filters([], slots)
     total = F.broadcast(train.sparkSession.createDataFrame([(k, v) for k, v in totals.items()], "lang string, total long"))
     shares = counts.join(total, "lang").select("gram", "lang", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= min_share)
     own = shares.groupBy("gram").agg(F.max("share").alias("most"), F.collect_list(F.struct("lang", "share")).alias("each"))  # at most one entry a language
     kept = own.select("gram", F.explode("each").alias("e"), "most").where(F.col("e.share") >= contrast * F.col("most")).select("gram", "e.lang")
     rows = kept.toArrow()  # at most languages / min_share
+    scratch.remove()
+    filters = Filters(sorted(totals), max(slots, pow2_at_least(16 * rows.num_rows)))
     code = {k: i for i, k in enumerate(filters.languages)}
     filters.add(rows["gram"].to_numpy(), np.array([code[x] for x in rows["lang"].to_pylist()], np.int64))
     filters.close()
@@ -166,16 +169,17 @@ def predict(df: DataFrame, filters: Filters, text_col: str = "text", **outputs:
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("filters")
         f = shared.value
-        for b in batches:
-            said = [f.decide(x.as_py()) for x in b.column("text")]
-            row = pa.array(range(0), pa.int64()) if not b.num_rows else b.column("row")
+        for b in (b for b in batches if b.num_rows):
+            row = b.column("row")
+            said = [f.decide(x.as_py()) for x in row.field(place)]
             yield pa.RecordBatch.from_arrays([row, pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], ["row", "l", "s"])
 
     kept = F.struct(*[F.col(n).alias(f"c{k}") for k, n in enumerate(names)])
     kind = df.select(kept.alias("row")).schema["row"].dataType.simpleString()
-    rows = df.select(kept.alias("row"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, f"row {kind}, l string, s double")
+    place = [n.lower() for n in names].index(text_col.lower())  # the text goes over once, in its row
+    out = df.select(kept.alias("row")).mapInArrow(run, f"row {kind}, l string, s double")
     return out.select(*[F.col(f"row.c{k}").alias(n) for k, n in enumerate(names)], F.col("l").alias(lang), F.col("s").alias(score))
 
 
