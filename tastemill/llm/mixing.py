@@ -17,15 +17,15 @@ spread over all ranges.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own. A null id
 has the key of the empty text. Rows equal in id and size that lie at the cut share the rest evenly,
-rounded down. An empty table gives an empty result. Other columns are not read by `mix_plan` and are
-kept by `apply_mix`."""
+rounded down. An empty table gives an empty result. Other columns are not read and are kept, whatever their names; in
+`mix_plan` one that has the name of an added column gives way to it."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemill.llm._common import hex_key, pow2_at_least, word_count, written
+from tastemill.llm._common import Scratch, hex_key, pow2_at_least, word_count, written
 
 KEY_BITS = 60
 
@@ -67,16 +67,18 @@ def mix_plan(sized: DataFrame, seed: str = "mix", **options) -> DataFrame:
 
 def mix_cuts(sized: DataFrame, seed: str = "mix", max_broadcast_sources: int = 100_000, **targets) -> DataFrame:
     """One row a source: its size, target, whole epochs, and the document, by (key, doc_id, size), where the rest ends."""
+    sized = sized.select("doc_id", "source", "size")
+    scratch = Scratch(sized.sparkSession, "mix")
     rows = sized.count()
     ranges = min(65536, pow2_at_least(max(1, rows) / 256))
     keyed = _keyed(sized, seed)
     keyed = keyed.withColumn("range", F.shiftright("key", KEY_BITS - (ranges.bit_length() - 1)))
-    sums = written(keyed.groupBy("source", "src", "range").agg(F.sum("size").alias("range_size")), "mix-ranges")
+    sums = scratch.written(keyed.groupBy("source", "src", "range").agg(F.sum("size").alias("range_size")), "mix-ranges")
     totals = sums.groupBy("source", "src").agg(F.sum("range_size").alias("source_size"))
     aimed = source_targets(totals.select("source", "source_size"), **targets).withColumn("src", _named(F.col("source"))).drop("source")
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(0).cast("long")
-    aimed = written(aimed.withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size")), "mix-targets")
+    aimed = scratch.written(aimed.withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size")), "mix-targets")
     running = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = sums.withColumn("range_end", F.sum("range_size").over(running)).join(aimed.select("src", "rest"), "src")
     ends = ends.where("rest > 0 and range_end > rest and range_end - range_size <= rest").select(
@@ -91,7 +93,9 @@ def mix_cuts(sized: DataFrame, seed: str = "mix", max_broadcast_sources: int = 1
     last = last.withColumn("end", F.col("range_start") + F.sum(F.col("size") * F.col("m")).over(order))
     left = F.col("rest") - (F.col("end") - F.col("size") * F.col("m"))
     cuts = last.where((F.col("end") > F.col("rest")) & (left >= 0)).select("src", place.alias("cut"), F.expr("(rest - (end - size * m)) div m").alias("cut_part"))
-    return written(aimed.join(small(cuts), "src", "left"), "mix-cuts")
+    plan = written(aimed.join(small(cuts), "src", "left"), "mix-cuts")
+    scratch.remove()
+    return plan
 
 
 def mix_shares(sized: DataFrame, plan: DataFrame, seed: str = "mix", max_broadcast_sources: int = 100_000) -> DataFrame:
@@ -106,8 +110,12 @@ def mix_shares(sized: DataFrame, plan: DataFrame, seed: str = "mix", max_broadca
         .cast("long")
     )
     few = plan.count() <= max_broadcast_sources
-    chosen = _keyed(sized, seed).join(F.broadcast(plan) if few else plan, "src").withColumn("part", part)
-    return chosen.select(*sized.columns, "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
+    added = ("source_size", "target", "epochs", "part", "taken")
+    others = [n for n in sized.columns if n.lower() not in ("doc_id", "source", "size", *added)]
+    kept = F.struct(F.lit(0), *[F.col(n).alias(f"in_{n}") for n in others]).alias("others")  # no clash with the plan's columns
+    keyed = _keyed(sized.select("doc_id", "source", "size", kept), seed)
+    chosen = keyed.join(F.broadcast(plan) if few else plan, "src").withColumn("part", part).withColumn("taken", F.col("epochs") * F.col("size") + F.col("part"))
+    return chosen.select("doc_id", "source", "size", *[F.col(f"others.in_{n}").alias(n) for n in others], *added)
 
 
 def document_key(doc_id: Column, seed: str) -> Column:
