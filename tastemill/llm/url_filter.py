@@ -9,10 +9,10 @@ that index and runs the regular expressions of the rules found there, and no oth
 fitting rule (host and path; the later of equals) decides.
 
 The index is a constant of the plan: `buckets` small maps, the token's hash picks one. So judging is
-one map stage without shuffle, join or explode; no key can be hot. The rules are the caller's list and
-bounded by `max_rules`.
+one map stage without shuffle, join or explode; no key can be hot. The rules are the caller's list; an index has
+at most `max_rules` of them, and more rules make more indexes, whose best rules are compared.
 
-Defined cases: a null URL or one without `://` has empty host and path; with no fitting rule the verdict
+Defined cases: a rule without such a token is run on every URL; a null URL or one without `://` has empty host and path; with no fitting rule the verdict
 is `default`. An empty table gives an empty result; an empty rule list gives `default` everywhere. Repeated
 rows and repeated ids are judged row by row. Other columns are not read."""
 
@@ -72,31 +72,34 @@ def url_tokens(host: Column, path: Column) -> Column:
 def judge_urls(df: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow", buckets: int = 1024, max_rules: int = 100_000) -> DataFrame:
     """One row per row of df: the id, host, path, rule (null if none fits), verdict."""
     rules = [Rule(*r) for r in rules]
-    if len(rules) > max_rules:
-        raise ValueError(f"{len(rules)} rules; max_rules is {max_rules}")
     host, path = split_url(F.col(url_col))
     parts = df.select(F.col(id_col), host.alias("host"), path.alias("path"))
     seen = token_counts(parts, sorted({t for r in rules for t in r.tokens}))
+    best = [_best(list(enumerate(rules))[at : at + max_rules], seen, buckets) for at in range(0, max(1, len(rules)), max_rules)]
+    judged = parts.withColumn("best", best[0] if len(best) == 1 else F.array_max(F.array_compact(F.array(*best))))
+    return judged.select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+
+
+def _best(rules: list[tuple[int, Rule]], seen: dict[str, int], buckets: int) -> Column:
+    """The longest of some rules that fits host and path, the later of equals; null if none does."""
     index: list[dict] = [{} for _ in range(buckets)]
-    for k, r in enumerate(rules):
-        if not r.tokens:
-            raise ValueError(f"rule {r.name!r} has no complete literal token")
-        token = min(r.tokens, key=lambda t: (seen.get(t, 0), t))
-        index[zlib.crc32(token.encode()) % buckets].setdefault(token, []).append(
-            {"size": len(r.name), "k": k, "pattern": r.pattern, "rule": r.name, "verdict": r.verdict}
-        )
-    kind = "array<map<string,array<struct<size:int,k:int,pattern:string,rule:string,verdict:string>>>>"
-    constant = F.from_json(F.lit(json.dumps(index)), kind)
-    address = F.concat("host", F.lit("\n"), "path")
+    always = []
+    for k, r in rules:
+        token = min(r.tokens, key=lambda t: (seen.get(t, 0), t), default=None)
+        own = always if token is None else index[zlib.crc32(token.encode()) % buckets].setdefault(token, [])
+        own.append({"size": len(r.name), "k": k, "pattern": r.pattern, "rule": r.name, "verdict": r.verdict})
+    kind = "array<struct<size:int,k:int,pattern:string,rule:string,verdict:string>>"
+    constant = F.from_json(F.lit(json.dumps(index)), f"array<map<string,{kind}>>")
     found = F.flatten(
         F.filter(
             F.transform(url_tokens(F.col("host"), F.col("path")), lambda t: F.try_element_at(F.get(constant, (F.crc32(t.cast("binary")) % buckets).cast("int")), t)),
             lambda x: x.isNotNull(),
         )
     )
-    best = F.array_max(F.filter(found, lambda r: F.regexp_like(address, r["pattern"])))
-    judged = parts.withColumn("best", best)
-    return judged.select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    if always:
+        found = F.concat(found, F.from_json(F.lit(json.dumps(always)), kind))
+    address = F.concat("host", F.lit("\n"), "path")
+    return F.array_max(F.filter(found, lambda r: F.regexp_like(address, r["pattern"])))
 
 
 def token_counts(parts: DataFrame, wanted: list[str]) -> dict[str, int]:
