@@ -23,7 +23,7 @@ from tastemill.sources.shared import new_path
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-ROW_GROUP = 8 << 20  # bytes that a Python worker writes at a time
+ROW_GROUP = 4 << 20  # bytes that a Python worker writes at a time
 
 
 def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:

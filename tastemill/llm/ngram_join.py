@@ -49,7 +49,7 @@ from tastemill.llm.ppm import blocks, lower_binary
 TILE = 256
 COLUMNS = 4096
 NARROW, WIDE = 200_000, 2_000  # rows of a file: ids and numbers, sets
-CHUNK_COLUMNS = 500_000  # of a prefix table, that are sorted together
+CHUNK_COLUMNS = 250_000  # of a prefix table, that are sorted together
 CHUNK_ROWS = 65_535  # so a row's number in its chunk has 16 bits
 SEVERAL = 65_535  # stands for the row where a chunk has several
 
