@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tastemill.llm._common import Cache, Scratch, arrow_rows, ensure_importable, holds, pow2_at_least
 from tastemill.llm.token_counts import byte_letters
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 180_000
 CACHE_TAILS = 10_000
 MARKS = "".join(c for c in string.punctuation if c != "'")  # neither letters nor numbers, and no part of a contraction
 LATIN_END = "\u0250"  # letters below it are letters to every version of Unicode
