@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tastemill.functions.feedback import score_of
 from tastemill.sources.tables import numbered
 
+LISTED = 10_000  # items that travel as one row
+
 
 def by_score(ix: DataFrame, least: int = 2) -> DataFrame:
     """Items by number of rows whose score is high; `first` is where the item occurs first, for ties."""
@@ -44,6 +46,19 @@ def for_every_user(users: DataFrame, best: DataFrame) -> DataFrame:
     return rows.select("user_id", "b.rank", "b.item_id", "b.score")
 
 
+def popular_for_users(users: DataFrame, counts: DataFrame, k: int) -> DataFrame:
+    """What for_every_user and top_items give together, for any k: beyond a short list the places are numbered by groups and ranges,
+    and the ranked items stay rows, so neither a task nor the driver holds them all."""
+    if k <= LISTED:
+        return for_every_user(users, top_items(counts, k))
+    tie = [F.col("first")] if "first" in counts.columns else []
+    places = numbered(counts, F.struct(F.col("n").isNull(), -F.col("n"), *tie), "item_id", "rank")
+    n = F.least(F.col("total"), F.lit(k))
+    step = F.when(n > 1, F.lit(0.9) * (F.col("rank") - 1) / (n - 1)).otherwise(F.lit(0.0))
+    ranked = places.where(F.col("rank") <= k).join(F.broadcast(counts.agg(F.count(F.lit(1)).alias("total")))).select("rank", "item_id", (F.lit(1.0) - step).alias("score"))
+    return users.select("user_id").crossJoin(ranked)
+
+
 def numbered_items(items: DataFrame) -> DataFrame:
     """item_id and its number from 0 in ascending id."""
     return numbered(items.select("item_id"), F.lit(0), "item_id", "place").select("item_id", (F.col("place") - 1).alias("number"))

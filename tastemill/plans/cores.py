@@ -207,7 +207,7 @@ class PopularCore(Core):
         return self
 
     def recommend(self, users: DataFrame, k: int, request: RetrievalRequest = RetrievalRequest()) -> DataFrame:
-        return popularity.for_every_user(users, popularity.top_items(self.state["counts"], k))
+        return popularity.popular_for_users(users, self.state["counts"], k)
 
 
 class RandomCore(Core):

@@ -336,7 +336,8 @@ def core_popular(s, d):
     """The core on items with ranks, asked for more items than there are."""
     items = T.items(s, d)
     core = cores.build_core("popular").fit(cores.Dataset(T.users(s, d), items, T.train(s, d)))
-    rows = core.recommend(holdout.capped_users(holdout.holdout_pairs(T.holdout(s, d)), 3), 100_000)
+    more = T.table(s, d, "part").count() + 1
+    rows = core.recommend(holdout.capped_users(holdout.holdout_pairs(T.holdout(s, d)), 3), more)
     return _round(rows, "score")
 
 

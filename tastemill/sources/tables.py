@@ -84,8 +84,9 @@ def numbered(df: DataFrame, by: Column, id_col: str, name: str, per_range: int =
     before = Window.orderBy("by_", "range_").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("by_", "range_", F.coalesce(F.sum("in_range_").over(before), F.lit(0)).alias("start_"))
     inside = F.row_number().over(Window.partitionBy("by_", "range_").orderBy(id_col))
-    placed = keyed.withColumn("inside_", inside).join(starts, ["by_", "range_"])
-    return placed.withColumn(name, (F.col("start_") + F.col("inside_")).cast("long")).drop("by_", "range_", "inside_", "start_")
+    starts = starts.withColumnsRenamed({"by_": "own_by_", "range_": "own_range_"})
+    placed = keyed.withColumn("inside_", inside).join(starts, F.col("by_").eqNullSafe(F.col("own_by_")) & F.col("range_").eqNullSafe(F.col("own_range_")))
+    return placed.withColumn(name, (F.col("start_") + F.col("inside_")).cast("long")).drop("by_", "range_", "own_by_", "own_range_", "inside_", "start_")
 
 
 def with_long_ids(df: DataFrame) -> DataFrame:

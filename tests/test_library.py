@@ -303,6 +303,18 @@ def test_random_items_are_whole(spark):
         assert len(per) == 300 and all((p["n"], p["r"], p["last"]) == (min(n, k),) * 3 and math.isclose(p["s"], 1) for p in per)
 
 
+def test_popular_beyond_a_list(spark, monkeypatch):
+    """All items as rows have the ranks and scores that one list gives, ties, a null item and null counts included."""
+    rows = [(None if i == 7 else i * 37 % 500, None if i % 100 == 3 else i % 6, i % 4) for i in range(500)]
+    counts, users = spark.createDataFrame(rows, "item_id long, n long, first int"), spark.range(2).toDF("user_id")
+    found = lambda df: sorted(((r["user_id"], r["rank"], r["item_id"], r["score"]) for r in df.collect()), key=lambda r: r[:2])
+    for c in (counts, counts.drop("first"), counts.limit(1)):
+        want = [found(popularity.popular_for_users(users, c, k)) for k in (10, 600)]
+        monkeypatch.setattr(popularity, "LISTED", 5)
+        assert [found(popularity.popular_for_users(users, c, k)) for k in (10, 600)] == want
+        monkeypatch.undo()
+
+
 def test_map_is_fitted_on_all_items(spark):
     from tastemill.operators import graph
 

@@ -41,6 +41,17 @@ def test_matches_sql(spark, con, name):
     assert all(close(x, y) for x, y in zip(a, b)), [(x, y) for x, y in zip(a, b) if not close(x, y)][:3]
 
 
+def test_core_popular_has_every_item(spark, con, tmp_path):
+    """Of more than 100,000 items."""
+    c = con.cursor()
+    c.execute(f"copy (select p.* replace (p_partkey + i * 1000 as p_partkey) from part p, range(501) r(i)) to '{tmp_path}/part.parquet' (format parquet)")
+    for name in ("customer", "orders", "lineitem", "events"):
+        (tmp_path / f"{name}.parquet").symlink_to(DATA / f"{name}.parquet")
+    want = ORACLE["core_popular"].replace("from part ", f"from '{tmp_path}/part.parquet' ")
+    a, b = rows(QUERIES["core_popular"](spark, str(tmp_path)).toPandas()), rows(c.execute(want).df())
+    assert len(a) == len(b) == 3 * 501 * 200 and all(map(close, a, b))
+
+
 def test_sketches_are_near(spark):
     r = QUERIES["approx_users_items"](spark, str(DATA)).first()
     assert abs(r["users"] - 150) <= 3 and abs(r["items"] - 200) <= 4
