@@ -3,7 +3,11 @@
 Items lie in blocks of at most `block_bytes`, in ascending id: one block is broadcast; more are written to the
 shared folder, and a task reads one after the other past the users that it holds. Inside a block the product is
 made in tiles, whose best k are merged into the users' best so far. So no user-item pair is ever a row, users are
-read once, and a task holds one block, one tile of scores and k numbers for each user that it holds."""
+read once, and a task holds one block, one tile of scores and k numbers for each user that it holds.
+
+Users that a task holds are grouped by direction. A unit item's score differs by at most a group's radius from its
+score with the group's centre, so a tile's products with the centres tell which items can be among anyone's best k;
+only these meet the users. Where a group is wide, or scores lie close, that is all of them."""
 
 from __future__ import annotations
 
@@ -12,16 +16,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastemill.sources.shared import new_path
+from tastemill.sources.shared import new_path, remove
 
 MODES = ("bruteforce_full", "bruteforce_subset", "ann_full", "ann_subset")
 TILE_USERS, TILE_ITEMS = 512, 8192
-HELD_USERS = 16_384  # users past whom the blocks are read once
+HELD_USERS = 32_768  # users past whom the blocks are read once
+LEAST_GROUP, NEAR = 32, 0.02  # groups of users are split down to this size, or this radius
 DIGITS = 9  # scores are ranked at so many
 
 
@@ -34,6 +40,31 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
     return m / np.where(length == 0, 1, length)
 
 
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of a column of lists of one length."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    whole = pa.concat_arrays(whole.chunks) if isinstance(whole, pa.ChunkedArray) else whole
+    size = pc.unique(pc.list_value_length(whole))
+    if len(size) != 1 or size[0].as_py() is None:
+        raise ValueError(f"vectors of one length are needed, not {size.to_pylist()[:5]}")
+    return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(whole), size[0].as_py())
+
+
+def groups(v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """Places, centre and radius of groups of at most TILE_USERS rows that lie near each other: halves along the widest element."""
+    waiting = [np.arange(len(v))]
+    while waiting:
+        at = waiting.pop()
+        low, high = v[at].min(axis=0), v[at].max(axis=0)
+        centre = (low + high) / 2
+        radius = np.linalg.norm(v[at] - centre, axis=1).max()
+        if len(at) > TILE_USERS or len(at) > LEAST_GROUP and radius > NEAR:
+            at = at[np.argpartition(v[at, np.argmax(high - low)], len(at) // 2)]
+            waiting += [at[: len(at) // 2], at[len(at) // 2 :]]
+        else:
+            yield at, centre, radius
+
+
 class Best:
     """The k best items of each of some users so far. An item's place in ascending id breaks ties of rounded scores."""
 
@@ -41,9 +72,8 @@ class Best:
         self.k = k
         self.code, self.item, self.score = (np.zeros((users, 0), t) for t in (np.int64, np.int64, np.float64))
 
-    def add(self, score: np.ndarray, first: int, ids: np.ndarray) -> None:
-        """Scores of all users and the items whose places are first, first + 1, ..."""
-        place = np.arange(first, first + len(ids))
+    def add(self, score: np.ndarray, place: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of all users and the items of these places."""
         code = (np.rint(score * 10**DIGITS).astype(np.int64) << 32) - place  # places are below 2 ** 32
         few = min(self.k, len(ids))
         at = np.argpartition(code, len(ids) - few, axis=1)[:, len(ids) - few :]
@@ -54,12 +84,25 @@ class Best:
         self.item = np.take_along_axis(np.hstack([self.item, ids[at]]), order, 1)
         self.score = np.take_along_axis(np.hstack([self.score, take(score)]), order, 1)
 
+    def may_enter(self, near: np.ndarray, radius: float) -> np.ndarray:
+        """Which items can be among the best of any of the users, whose scores differ from `near` by at most the radius.
+
+        Users who have fewer than k have k at least as good as the k-th best of `near` less the radius, if so many come."""
+        if self.score.shape[1] == self.k:
+            least = self.score[:, -1].min()
+        elif len(near) > self.k:
+            least = np.partition(near, len(near) - self.k)[len(near) - self.k] - radius
+        else:
+            return np.arange(len(near))
+        return np.flatnonzero(~(near + radius < least - 10 ** (1 - DIGITS)))  # what is not a number stays
+
 
 @lru_cache(1)
 def _block(path: str, k: int) -> tuple[np.ndarray, np.ndarray]:
     files, root = fs.FileSystem.from_uri(path)
-    t = pa.dataset.dataset(f"{root}/block={k}", filesystem=files, format="parquet").to_table(columns=["item_id", "embedding"]).sort_by("item_id")
-    return t["item_id"].to_numpy(), unit_rows(np.stack(t["embedding"].to_numpy()).astype(np.float64))
+    t = pa.dataset.dataset(f"{root}/block={k}", filesystem=files, format="parquet").to_table(columns=["item_id", "embedding"])
+    order = pc.sort_indices(t["item_id"]).to_numpy()
+    return t["item_id"].to_numpy()[order], unit_rows(matrix(t["embedding"])[order])
 
 
 def top_k(users: DataFrame, items: DataFrame, k: int, block_bytes: int = 64 << 20, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
@@ -70,38 +113,50 @@ def top_k(users: DataFrame, items: DataFrame, k: int, block_bytes: int = 64 << 2
     spark = users.sparkSession
     kinds = ", ".join(f"`{c}` {users.schema[c].dataType.simpleString()}" for c in keys)
     schema = f"{kinds}, rank long, item_id long, score double"
-    unit = items.where("embedding is not null").select(F.col("item_id").cast("long").alias("item_id"), "embedding")
+    own = new_path(spark, "item-vectors")  # the items' plan runs once
+    items.where("embedding is not null").select(F.col("item_id").cast("long").alias("item_id"), "embedding").write.parquet(own)
+    unit = spark.read.schema(f"item_id long, embedding {items.schema['embedding'].dataType.simpleString()}").parquet(own)
     n, dim = unit.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     if k <= 0 or n == 0:
+        remove(spark, own)
         return spark.createDataFrame([], schema)
     blocks = -(-n * dim * 8 // block_bytes)
     if blocks == 1:  # its size is known before it is collected
         t = unit.toArrow().sort_by("item_id")
-        shared = spark.sparkContext.broadcast((t["item_id"].to_numpy(), unit_rows(np.stack(t["embedding"].to_numpy()).astype(np.float64))))
+        shared = spark.sparkContext.broadcast((t["item_id"].to_numpy(), unit_rows(matrix(t["embedding"]))))
         starts, block = [0], lambda _: shared.value
     else:
         path = new_path(spark, "item-blocks")
         dealt = unit.repartitionByRange(blocks, "item_id").withColumn("block", F.spark_partition_id())
         dealt.write.partitionBy("block").parquet(path)
         sizes = {r["block"]: r["count"] for r in spark.read.parquet(path).groupBy("block").count().collect()}
-        own = sorted(sizes)
-        starts, block = [sum(sizes[x] for x in own[:i]) for i in range(len(own))], lambda i: _block(path, own[i])
+        order = sorted(sizes)
+        starts, block = [sum(sizes[x] for x in order[:i]) for i in range(len(order))], lambda i: _block(path, order[i])
+    remove(spark, own)
 
     def ranked(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).combine_chunks()
-        v = unit_rows(np.stack(rows["embedding"].to_numpy()).astype(np.float64))
-        parts = [(at, Best(min(TILE_USERS, len(v) - at), k)) for at in range(0, len(v), TILE_USERS)]
+        v = unit_rows(matrix(rows["embedding"]))
+        parts = [(at, Best(len(at), k), centre, radius) for at, centre, radius in groups(v)]
         for i, start in enumerate(starts):
             ids, m = block(i)
-            for at, best in parts:
-                for x in range(0, len(ids), TILE_ITEMS):
-                    best.add(v[at : at + TILE_USERS] @ m[x : x + TILE_ITEMS].T, start + x, ids[x : x + TILE_ITEMS])
-        for at, best in parts:
-            few = best.item.shape[1]
-            own = rows.slice(at, len(best.item)).select(list(keys)).take(pa.array(np.repeat(np.arange(len(best.item)), few))).combine_chunks()
-            rank = np.tile(np.arange(1, few + 1), len(best.item))
+            for x in range(0, len(ids), TILE_ITEMS):
+                tile, own = m[x : x + TILE_ITEMS], ids[x : x + TILE_ITEMS]
+                for p in range(0, len(parts), TILE_USERS):
+                    near = np.stack([centre for _, _, centre, _ in parts[p : p + TILE_USERS]]) @ tile.T
+                    for (at, best, _, radius), scores in zip(parts[p : p + TILE_USERS], near):
+                        few = best.may_enter(scores, radius)
+                        if len(few):
+                            best.add(v[at] @ tile[few].T, start + x + few, own[few])
+        found = [np.concatenate([(best.item, best.score)[c] for _, best, _, _ in parts]) for c in (0, 1)]
+        order = np.argsort(np.concatenate([at for at, _, _, _ in parts]))
+        item, score = found[0][order], found[1][order]
+        for at in range(0, len(v), TILE_USERS):
+            some = item[at : at + TILE_USERS]
+            own = rows.slice(at, len(some)).select(list(keys)).take(pa.array(np.repeat(np.arange(len(some)), some.shape[1]))).combine_chunks()
+            rank = np.tile(np.arange(1, some.shape[1] + 1), len(some))
             columns = [own[c].combine_chunks() if own[c].num_chunks != 1 else own[c].chunk(0) for c in keys]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(rank), pa.array(best.item.ravel()), pa.array(best.score.ravel())], [*keys, "rank", "item_id", "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(rank), pa.array(some.ravel()), pa.array(score[at : at + TILE_USERS].ravel())], [*keys, "rank", "item_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -179,7 +234,7 @@ def top_k_by_cells(users: DataFrame, items: DataFrame, k: int, nprobe: int, cell
             who = asks[at : at + TILE_USERS]
             best = Best(len(who), k)
             for x in range(0, len(own), TILE_ITEMS):
-                best.add(v[who] @ v[own[x : x + TILE_ITEMS]].T, x, ids[own[x : x + TILE_ITEMS]])
+                best.add(v[who] @ v[own[x : x + TILE_ITEMS]].T, np.arange(x, min(x + TILE_ITEMS, len(own))), ids[own[x : x + TILE_ITEMS]])
             out.append((np.repeat(ids[who], best.item.shape[1]), best.item.ravel(), best.score.ravel()))
         columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(dict(zip(("user_id", "item_id", "score"), map(pa.array, columns))))

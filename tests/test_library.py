@@ -168,6 +168,32 @@ def test_retrieval_ties_and_tiles(spark, monkeypatch):
             assert [i for v, i in got if v == u] == [i for c in best for i in sorted(200 - j for j in range(100) if j % 4 == c)][:30]
 
 
+def test_retrieval_passes_items_over(spark, monkeypatch):
+    """Users alike: the items that meet them are few, and the result is that of all products. Empty, zero and odd vectors as well."""
+    rng = np.random.default_rng(7)
+    m = rng.normal(size=(20_000, 8))
+    m[::500], m[1::500] = 0, m[2::500]
+    v = np.vstack([[1.0, 2, 3, 0, 0, 0, 0, 0] + 1e-3 * rng.normal(size=(900, 8)), rng.normal(size=(40, 8)), np.zeros((1, 8))])
+    met, add = [], retrieval.Best.add
+    monkeypatch.setattr(retrieval.Best, "add", lambda self, score, place, ids: (met.append(score.size), add(self, score, place, ids))[1])
+    unit, asked = retrieval.unit_rows(m), retrieval.unit_rows(v)
+    score = asked @ unit.T
+    want = np.argsort(-(np.rint(score * 10**9).astype(np.int64) << 32) + np.arange(len(m)), axis=1, kind="stable")[:, :20]
+    for at, centre, radius in retrieval.groups(asked):
+        best = retrieval.Best(len(at), 20)
+        for x in range(0, len(m), 5000):
+            few = best.may_enter(unit[x : x + 5000] @ centre, radius)
+            if len(few):
+                best.add(asked[at] @ unit[x : x + 5000][few].T, x + few, x + few)
+        assert (best.item == want[at]).all()
+    assert sorted(np.concatenate([at for at, _, _ in retrieval.groups(asked)])) == list(range(len(v))) and sum(met) < 0.2 * score.size
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "item_id long, embedding array<double>")
+    users = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "user_id long, embedding array<double>")
+    for size in (1 << 28, 400_000):
+        got = retrieval.top_k(users, items, 20, size).orderBy("user_id", "rank").toPandas()
+        assert (got["item_id"].to_numpy().reshape(-1, 20) == want).all()
+
+
 def test_coarse_cells_have_recall(spark):
     """Recall against brute force at a fifth of the cells, and exactness at all of them; most items lie in one place."""
     rng = np.random.default_rng(10)
