@@ -35,16 +35,25 @@ def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Python stages that run inside get Arrow batches of so many rows: whole texts in batches of Spark's own
-    10,000 rows take hundreds of megabytes on both sides. The session's setting is put back."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+def setting(spark: SparkSession, name: str, value: str | int) -> Iterator[None]:
+    """A setting of the session for what runs inside; then it is put back."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def arrow_rows(spark: SparkSession, rows: int = 1000):
+    """Python stages that run inside get Arrow batches of so many rows: whole texts in batches of Spark's own
+    10,000 rows take hundreds of megabytes on both sides."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def shuffles_removed(spark: SparkSession):
+    """The shuffle files of a query that runs inside go when it ends, not when the driver happens to collect its garbage."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 class Scratch:

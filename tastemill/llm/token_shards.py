@@ -9,6 +9,8 @@ rounds add modulo the side) permutes the numbers; where its value is n or more i
 Slots are cut into ranges of `per_shard`; each range is one file, written by the one partition that its sequences,
 compressed, are dealt to. A record has a fixed stride of `length` ids, padded with the end id, so slot s lies at
 byte (s % per_shard) * stride of shard s // per_shard: sequential reads, and resuming at any slot, need no index.
+The shards are written in WAVES passes over the stored documents, each of which deals the sequences of its own shards, so
+that no more than that part of the ids is on its way at a time.
 A task holds one shard at a time. A file is written under a temporary name and then renamed, over a file of that name
 if there is one; its bytes follow from the rows and the key alone, so a task that runs again writes the same file.
 
@@ -26,7 +28,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +38,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemill.llm._common import Cache, Scratch, arrow_rows, ensure_importable, holds, pow2_at_least, written
+from tastemill.llm._common import Cache, Scratch, arrow_rows, ensure_importable, holds, pow2_at_least, shuffles_removed, written
 from tastemill.llm.packing import LATIN_END, MARKS
 from tastemill.llm.token_counts import SPACE, byte_letters
 from tastemill.sources.shared import new_path
 
 ROUNDS = 6
 CACHED = 700_000  # words
-STORED, PACKED = 6, 9  # levels of compression of whole documents, and on the way to the shards
+LEVEL = 3  # of compression of whole documents, and on the way to the shards
+WAVES = 2
 DEALT = 32 << 20  # bytes of ids that a task deals to the shards at a time
 
 
@@ -191,7 +194,7 @@ def token_documents(df: DataFrame, tokenizer: str, end_id: int, width: int, id_c
             place += n
 
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return scratch.written_by(texts, run, f"doc_id {kind}, crc long, size long, ids binary, task int, place long", "documents", STORED)
+    return scratch.written_by(texts, run, f"doc_id {kind}, crc long, size long, ids binary, task int, place long", "documents", LEVEL)
 
 
 def first_numbers(documents: DataFrame, stride: int, to: str) -> int:
@@ -221,15 +224,17 @@ def write_shards(df: DataFrame, tokenizer: str, key: str, length: int = 256, end
     to = to or new_path(spark, "shards")
     scratch = Scratch(spark, "token-shards")
     stride, pad = length * width, int(end_id).to_bytes(width, "little")
-    with arrow_rows(spark):
+    with arrow_rows(spark), shuffles_removed(spark):
         documents = token_documents(df, tokenizer, end_id, width, id_col, text_col, scratch)
         firsts = f"{scratch.path}/first-numbers"
         total = first_numbers(documents, stride, firsts)
         kind = documents.schema["doc_id"].dataType.simpleString()
         shards = max(1, -(-total // per_shard))
         together = -(-shards // most_partitions)  # shards that one partition writes one after the other
+        per_part = per_shard * together
 
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def place(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[pa.RecordBatch]:
+            """The sequences of partitions low to high - 1."""
             holds("shards")
             held, size, task, first = [], 0, None, np.zeros(0, np.int64)
 
@@ -239,14 +244,15 @@ def write_shards(df: DataFrame, tokenizer: str, key: str, length: int = 256, end
                 piece = np.concatenate([np.arange(-(-len(x) // stride), dtype=np.int32) for _, x, _ in held])
                 row = np.repeat(np.arange(len(held)), [-(-len(x) // stride) for _, x, _ in held])
                 slot = feistel(number, total, key)
-                order = np.argsort(slot, kind="stable")
+                mine = np.flatnonzero((slot >= low * per_part) & (slot < high * per_part))
+                order = mine[np.argsort(slot[mine], kind="stable")]
                 ids = pa.array([d for d, _, _ in held], b.schema.field("doc_id").type)
-                for own in np.split(order, np.flatnonzero(np.diff(slot[order] // per_shard)) + 1):
+                for own in np.split(order, np.flatnonzero(np.diff(slot[order] // per_shard)) + 1) if len(order) else ():
                     parts = [held[r][1][p * stride : (p + 1) * stride] for r, p in zip(row[own].tolist(), piece[own].tolist())]
                     sizes = np.array([len(x) // width for x in parts], np.int32)
                     crc = np.array([zlib.crc32(x) for x in parts], np.uint32)
                     doc_ids = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), ids.take(pa.array(row[own])))
-                    columns = [pa.array([x], pa.binary()) for x in (piece[own].tobytes(), sizes.tobytes(), slot[own].tobytes(), crc.tobytes(), pa.Codec("zstd", compression_level=PACKED).compress(b"".join(parts), asbytes=True))]
+                    columns = [pa.array([x], pa.binary()) for x in (piece[own].tobytes(), sizes.tobytes(), slot[own].tobytes(), crc.tobytes(), pa.Codec("zstd", compression_level=LEVEL).compress(b"".join(parts), asbytes=True))]
                     yield pa.RecordBatch.from_arrays([pa.array([int(slot[own[0]] // per_shard)], pa.int64()), doc_ids, *columns], ["shard", "doc_ids", "pieces", "sizes", "slots", "crcs", "ids"])
 
             for b in batches:
@@ -292,10 +298,15 @@ def write_shards(df: DataFrame, tokenizer: str, key: str, length: int = 256, end
             if held:
                 yield close()
 
-        dealt = documents.select("doc_id", "ids", "task", "place").mapInArrow(place, f"shard long, doc_ids array<{kind}>, pieces binary, sizes binary, slots binary, crcs binary, ids binary")
-        ranged = dealt.repartitionById(-(-shards // together), F.floor(F.col("shard") / together).cast("int")).sortWithinPartitions("shard")
-        rows = ranged.mapInArrow(write, f"doc_id {kind}, piece int, n_tokens int, slot long, shard long, byte_offset long, ids_crc32 long, file string")
-        index = written(rows.withColumn("file", F.concat(F.lit(f"{to}/"), F.col("file"))), "shard-index")  # the files exist when this returns
+        parts = -(-shards // together)
+        cuts = [parts * w // WAVES for w in range(WAVES + 1)]
+        indexes = []
+        for low, high in [x for x in zip(cuts, cuts[1:]) if x[0] < x[1]]:
+            dealt = documents.select("doc_id", "ids", "task", "place").mapInArrow(partial(place, low=low, high=high), f"shard long, doc_ids array<{kind}>, pieces binary, sizes binary, slots binary, crcs binary, ids binary")
+            ranged = dealt.repartitionById(high - low, F.floor(F.col("shard") / together).cast("int") - low).sortWithinPartitions("shard")
+            rows = ranged.mapInArrow(write, f"doc_id {kind}, piece int, n_tokens int, slot long, shard long, byte_offset long, ids_crc32 long, file string")
+            indexes.append(written(rows.withColumn("file", F.concat(F.lit(f"{to}/"), F.col("file"))), "shard-index"))  # the files exist when this returns
+        index = reduce(DataFrame.unionByName, indexes)
     scratch.remove()
     return index
 

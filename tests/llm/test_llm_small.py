@@ -3,8 +3,10 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -379,6 +381,27 @@ def test_shards_do_not_depend_on_partitions(spark, some, tmp_path):
     assert {p.name: p.read_bytes() for p in (tmp_path / "0").glob("*.bin")} == found[0][1] and not list((tmp_path / "0").glob(".*.tmp"))
 
 
+def test_shards_come_in_waves(spark, monkeypatch):
+    """Each wave deals its own half of the sequences, and no shuffle file stays after the last."""
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    left = lambda: {p for d in env.blockManager().diskBlockManager().localDirs() for p in Path(str(d)).rglob("shuffle_*.data")}
+    waves, write, before = [], token_shards.written, left()
+    monkeypatch.setattr(token_shards, "written", lambda df, name: (waves.append(out := write(df, name)), out)[1])
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name)
+    rows = token_shards.write_shards(docs(spark, [prose(i, 400) for i in range(40)]), BYTE, "k", length=16, per_shard=64)
+    own = [{r["shard"] for r in w.select("shard").distinct().collect()} for w in waves]
+    assert len(own) == token_shards.WAVES == 2 and not own[0] & own[1] and abs(len(own[0]) - len(own[1])) <= 1 and len(own[0] | own[1]) > 4
+    assert sorted(r["slot"] for r in rows.collect()) == list(range(rows.count())) and spark.conf.get(name) == was
+    monkeypatch.undo()
+    before |= left()  # of the reading above
+    token_shards.write_shards(docs(spark, [prose(i, 400) for i in range(40)]), BYTE, "k", length=16, per_shard=64)
+    end = time.time() + 10
+    while left() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not left() - before
+
+
 def test_encoders_against_the_library():
     """White space of all kinds, marks, letters of other scripts, special strings."""
     from tokenizers import Tokenizer
