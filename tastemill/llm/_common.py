@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -45,7 +46,7 @@ def setting(spark: SparkSession, name: str, value: str | int) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def arrow_rows(spark: SparkSession, rows: int = 1000):
+def arrow_rows(spark: SparkSession, rows: int = 250):
     """Python stages that run inside get Arrow batches of so many rows: whole texts in batches of Spark's own
     10,000 rows take hundreds of megabytes on both sides."""
     return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
@@ -100,10 +101,12 @@ class Scratch:
                 if waiting:
                     out.write_table(pa.Table.from_batches(waiting).cast(arrow))
             files.move(hidden, f"{root}/part-{TaskContext.get().partitionId():07d}.parquet")
+            waiting = b = None
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], ["rows"])
 
         if not df.mapInArrow(store, "rows long").agg(F.sum("rows")).first()[0]:
-            return self.written(self.spark.createDataFrame([], kind), name)
+            return self.written(small_table(self.spark, [], schema), name)
         out = self.spark.read.schema(kind).parquet(path)
         self.paths[id(out)] = out, path
         return out
@@ -122,17 +125,28 @@ class Scratch:
 
 
 _held: dict[str, Callable[[], None]] = {}
+_libc = ctypes.CDLL(None)
 
 
 def holds(name: str, clear: Callable[[], None] = lambda: None) -> None:
     """Says, in a Python worker, that a stage of this name begins, and how to clear what it keeps for its next tasks.
 
     Workers serve one stage after the other; what stages of other names have kept goes."""
-    for other in [k for k in _held if k != name]:
+    others = [k for k in _held if k != name]
+    for other in others:
         _held.pop(other)()
+    if others:
+        give_back()
     _held[name] = clear
 
 
+def give_back() -> None:
+    """Returns to the system the memory that this Python worker has freed but not given back; it waits for its next task with the rest."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 class Cache(dict):
     """What `learn` returned for the latest `most` different texts or more, twice as many at most.
 
@@ -156,6 +170,15 @@ class Cache(dict):
         return found
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of the driver as a table. By way of Arrow: rows alone go through Python workers of their own kind, which each
+    executor then keeps beside those of the operators."""
+    kind = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kind)
+    columns = zip(*rows) if rows else [()] * len(arrow)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), kind)
+
+
 def ensure_importable(spark: SparkSession) -> None:
     """Python workers on this machine find the package even if the driver found it by sys.path alone."""
     root = str(Path(__file__).resolve().parents[2])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tastemill.llm._common import Scratch, ensure_importable, holds, pow2_at_least
+from tastemill.llm._common import Scratch, ensure_importable, give_back, holds, pow2_at_least, small_table
 
 HASHES = 3
 WINDOW = 1 << 20  # bytes that are looked up at once
@@ -148,7 +148,7 @@ def train_filters(train: DataFrame, slots: int = 1 << 21, min_share: float = 1e-
     if not totals:
         scratch.remove()
         return Filters([], slots)
-    total = F.broadcast(train.sparkSession.createDataFrame([(k, v) for k, v in totals.items()], "lang string, total long"))
+    total = F.broadcast(small_table(train.sparkSession, list(totals.items()), "lang string, total long"))
     shares = counts.join(total, "lang").select("gram", "lang", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= min_share)
     own = shares.groupBy("gram").agg(F.max("share").alias("most"), F.collect_list(F.struct("lang", "share")).alias("each"))  # at most one entry a language
     kept = own.select("gram", F.explode("each").alias("e"), "most").where(F.col("e.share") >= contrast * F.col("most")).select("gram", "e.lang")
@@ -175,6 +175,8 @@ def predict(df: DataFrame, filters: Filters, text_col: str = "text", **outputs:
             row = b.column("row")
             said = [f.decide(x.as_py()) for x in row.field(place)]
             yield pa.RecordBatch.from_arrays([row, pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], ["row", "l", "s"])
+            del b, row
+        give_back()
 
     kept = F.struct(*[F.col(n).alias(f"c{k}") for k, n in enumerate(names)])
     kind = df.select(kept.alias("row")).schema["row"].dataType.simpleString()

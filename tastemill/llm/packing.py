@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemill.llm._common import Cache, Scratch, arrow_rows, ensure_importable, holds, pow2_at_least
+from tastemill.llm._common import Cache, Scratch, arrow_rows, ensure_importable, holds, pow2_at_least, small_table
 from tastemill.llm.token_counts import byte_letters
 
 CACHE_WORDS = 180_000
@@ -184,7 +184,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     spark = pieces.sparkSession
     lengths = pieces.groupBy("length").count().collect()  # at most `capacity` rows
     rows = plan_rows(packing_plan({r["length"]: r["count"] for r in lengths}, capacity))
-    plan = F.broadcast(spark.createDataFrame(rows, "len long, begin long, end long, first_sequence long, n long, first_offset long"))
+    plan = F.broadcast(small_table(spark, rows, "len long, begin long, end long, first_sequence long, n long, first_offset long"))
     total = sum(r["count"] for r in lengths)
     ranges = min(16384, pow2_at_least(max(1, total) / 512))
     dealt = pieces.withColumn("range", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(ranges)))

@@ -164,6 +164,35 @@ def test_pipeline_returns_the_sequences(spark):
 # 3: language
 
 
+def test_pipeline_reads_whole_texts_in_small_batches(spark):
+    """Large ones let every executor's heap grow to its limit."""
+    import corpus_pipeline
+
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(x, None) for x in names]
+    try:
+        assert corpus_pipeline.identify(spark, docs(spark, [prose(i, 30) for i in range(8)]), "").count() == 8
+        assert [int(spark.conf.get(x)) for x in names] == [250, 512]
+    finally:
+        for x, old in zip(names, before):
+            spark.conf.unset(x) if old is None else spark.conf.set(x, old)
+
+
+def test_small_tables_need_no_python_workers(spark):
+    """Those would be of another kind than the operators', and stay beside them in each executor."""
+    from tastemill.llm._common import small_table
+
+    lineage = lambda df: df._jdf.queryExecution().toRdd().toDebugString()
+    rows = [("a", 1), (None, 1 << 40), ("b", None)]
+    table = small_table(spark, rows, "lang string, total long")
+    assert [tuple(r) for r in table.collect()] == rows and "PythonRDD" not in lineage(table)
+    assert small_table(spark, [], "x int, y array<long>").collect() == []
+    pieces = spark.createDataFrame([(i, 0, 5, i) for i in range(9)], "doc_id long, piece int, length long, ids_crc32 long").cache()
+    pieces.count()
+    placed = packing.pack(pieces, 16)
+    assert placed.count() == 9 and "LocalRelation [len" in placed._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_language(spark, empty):
     words = {"aa": "lor mel tin sab", "bb": "qux vyz wok pum"}
     rng = np.random.default_rng(0)
