@@ -12,8 +12,9 @@ distributed running count (hash ranges, counts of ranges, numbers inside a range
 the combination, its repetition and the place in it. A length that a third of all pieces have is
 spread over all ranges.
 
-Tokens: `WordEncoder` asks the tokenizer once for every distinct white-space-delimited word; that is exact
-for tokenizers that drop white space, and a text with control characters that Python and the tokenizer
+Tokens: `WordEncoder` cuts a text of Latin letters, numbers and marks as the tokenizer does and has all its words merged in
+one call, without remembering any. For other texts it asks the tokenizer once for every distinct white-space-delimited word;
+that is exact for tokenizers that drop white space, and a text with control characters that Python and the tokenizer
 do not both take for white space is encoded whole.
 
 Defined cases: a null text is the empty text and gives one piece, the end id alone. Longer documents are cut
@@ -22,7 +23,9 @@ empty result. Other columns are not read."""
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import string
 import sys
 import zlib
@@ -35,13 +38,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.llm._common import Cache, Scratch, arrow_rows, ensure_importable, holds, pow2_at_least, small_table
+from tastemill.llm.bpe import END, LATIN, LATIN_END, LETTERS, NUMBERS, SPLIT, core_of, ranks_of
 from tastemill.llm.token_counts import byte_letters
 
 CACHE_WORDS = 180_000
 CACHE_TAILS = 10_000
 MARKS = "".join(c for c in string.punctuation if c != "'")  # neither letters nor numbers, and no part of a contraction
-LATIN_END = "\u0250"  # letters below it are letters to every version of Unicode
 ODD_SPACE = "\x1c\x1d\x1e\x1f"  # white space to Python alone
+BLANKS = " \t\n\r"
+#: What a tokenizer file says that lowers case and cuts words as PIECE does.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITS = [
+    {"type": "Split", "pattern": {"Regex": SPLIT + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+PIECE = re.compile(f"{SPLIT}|[{LETTERS}]+|[{NUMBERS}]|[^{BLANKS}{LETTERS}{NUMBERS}]+")
+OTHER = re.compile(f"[^{BLANKS}!-~{LATIN}]")  # characters of texts that are not cut by PIECE
 
 
 class WordEncoder:
@@ -59,6 +71,12 @@ class WordEncoder:
         if array("I").itemsize != 4 or sys.byteorder != "little":
             raise RuntimeError("unsigned 32-bit little-endian arrays are needed")
         self.words, self.tails = Cache(self.word, CACHE_WORDS), Cache(self.whole, CACHE_TAILS)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        as_cut = [(spec.get(k) or {}).get(v) for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))] == [NORMALIZERS, SPLITS]
+        ranks = ranks_of(spec) if as_cut and spec["model"].get("end_of_word_suffix") else None
+        self.merged = core_of(ranks, f"[^{END}]+{END}") if ranks else None
         for w in ("a", "the", "ueber", "\u00fcber", "\u0153uvre", "stra\u00dfe", "ni\u00f1o"):
             if self.words[w] != self.whole(w.upper() if w.isascii() else w):
                 raise ValueError("the tokenizer does not lower case and cut words as this encoder expects")
@@ -78,8 +96,21 @@ class WordEncoder:
             return ids + self.tails[w[len(stem) :]] if len(stem) < len(w) else ids
         return self.whole(w)
 
+    def at_once(self, text: str) -> bytes | None:
+        """The ids of a text that PIECE cuts as the tokenizer does; None for others."""
+        if not self.merged or OTHER.search(text) or any(s in text for s in self.special):
+            return None
+        pieces = PIECE.findall(text.lower())
+        pieces.append("")  # the last piece ends like the others
+        return bytes(self.merged(END.join(pieces)))
+
+    def text(self, t: str) -> bytes:
+        if (ids := self.at_once(t)) is not None:
+            return ids
+        return self.whole(t) if any(c in t for c in ODD_SPACE) else b"".join(map(self.words.__getitem__, t.split()))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [self.whole(t) if any(c in t for c in ODD_SPACE) else b"".join(map(self.words.__getitem__, t.split())) for t in texts]
+        return list(map(self.text, texts))
 
 
 @lru_cache(2)

@@ -1,6 +1,7 @@
 """Small cases of the training-text operators against brute force: nulls, ties, repeats, empty and odd tables."""
 
 import hashlib
+import json
 import math
 import re
 import time
@@ -443,6 +444,39 @@ def test_encoders_against_the_library():
         assert [x for x in texts if encode(x).tolist() != t.encode(x, add_special_tokens=False).ids] == []
 
 
+def latin_texts():
+    """Every character that the merging at once takes, beside letters, numbers, marks and blanks, and mixtures."""
+    rng = np.random.default_rng(8)
+    each = [t.replace("?", chr(c)) for c in range(0x260) for t in ("?", "a?", "?b ??1", "'? don't'S ?y", "x ? y", "?\n?")]
+    bits = ["the", "THE", " ", " ", "\n", "'s", "'T", "'", "7", "\xbd", "\xb2", ",", "...", "\xad", "\xdf", "\u023a", "\u0149", "\xaa", "zq", "ing"]
+    return each + ["".join(rng.choice(bits, rng.integers(0, 14))) for _ in range(4000)] + [prose(1, 300), "x" * 30_000, "<|endoftext|>", "a \x01 b"]
+
+
+def test_words_merged_at_once_against_the_library(tmp_path):
+    """Latin texts take one call and leave nothing behind; a file that cuts words otherwise goes by the library."""
+    from tokenizers import Tokenizer
+
+    from tastemill.llm import bpe
+
+    texts, plain = latin_texts(), [prose(i, 50) + ", d\u00e9j\u00e0 VU!" for i in range(20)]
+    spec = json.loads(Path(WORD).read_text())
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec))
+    for path in (WORD, str(other)):
+        encoder, library = packing.WordEncoder(path), Tokenizer.from_file(path)
+        known = len(encoder.words)
+        assert [encoder.at_once(t) is not None for t in plain] == [path == WORD] * len(plain)
+        encoder.encode(plain)
+        assert (len(encoder.words) == known) == (path == WORD)
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+        assert [t for t, x in zip(texts, got) if x != library.encode(t, add_special_tokens=False).ids] == []
+    vocab = spec["model"]["vocab"]
+    first, last = ("".join(spec["model"]["merges"][k]) for k in (0, -1))
+    vocab[first], vocab[last] = vocab[last], vocab[first]  # ids no longer in the order of merges
+    assert bpe.ranks_of(spec) is None
+
+
 # 7: prediction by partial matching
 
 
