@@ -39,7 +39,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.llm._common import Cache, Scratch, arrow_rows, ensure_importable, holds, pow2_at_least, shuffles_removed, written
-from tastemill.llm.packing import LATIN_END, MARKS
+from tastemill.llm.bpe import LATIN, LATIN_END, SPLIT, core_of, ranks_of
+from tastemill.llm.packing import MARKS
 from tastemill.llm.token_counts import SPACE, byte_letters
 from tastemill.sources.shared import new_path
 
@@ -48,6 +49,8 @@ CACHED = 700_000  # words
 LEVEL = 3  # of compression of whole documents, and on the way to the shards
 WAVES = 2
 DEALT = 32 << 20  # bytes of ids that a task deals to the shards at a time
+PLAIN = SPLIT + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"  # byte-level BPE's pieces, where no white space follows another
+OTHER = re.compile(f"[^ \n!-~{LATIN}]")  # characters of texts that are not cut by PLAIN
 
 
 def _mixed(x: np.ndarray, key: int) -> np.ndarray:
@@ -92,35 +95,19 @@ def unfeistel(y: np.ndarray, n: int, key: str) -> np.ndarray:
     return out
 
 
-def merger(path: str, tokenizer) -> Callable[[str], list[int]]:
-    """Ids of one piece of text by the merges of a byte-level BPE file alone.
-
-    tiktoken's core merges the pair whose joined bytes are the earliest token. Where every token encodes to itself,
-    two neighbours that come about under the file's merges and together are a token are always that token's own merge
-    (the token's bytes alone would stop at the two otherwise), so with ids in the order of merges both do the same.
-    Both conditions are checked; a file without them is encoded by its own library, piece by piece."""
-    import tiktoken
-
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    letters, model = byte_letters(), tokenizer.model
-    as_byte = {c: b for b, c in letters.items()}
-    added = {t["content"] for t in spec.get("added_tokens", [])}
-    vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in added}
-    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
-    ordered = all(x < y for x, y in zip(made, made[1:])) and sorted(vocab[c] for c in as_byte if c in vocab) + made == sorted(vocab.values())
-    if ordered and all(set(t) <= as_byte.keys() and [x.id for x in model.tokenize(t)] == [i] for t, i in vocab.items()):
-        ranks = {bytes(map(as_byte.__getitem__, t)): i for t, i in vocab.items()}
-        return tiktoken.Encoding(os.path.basename(path), pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    table = {b: c for b, c in letters.items() if chr(b) != c}
-    return lambda text: [t.id for t in model.tokenize(text.encode().decode("latin-1").translate(table))]
+def merger(tokenizer) -> Callable[[str], list[int]]:
+    """Ids of one piece of text by the tokenizer's own library."""
+    table = {b: c for b, c in byte_letters().items() if chr(b) != c}
+    return lambda text: [t.id for t in tokenizer.model.tokenize(text.encode().decode("latin-1").translate(table))]
 
 
 class ChunkEncoder:
-    """Texts to ids as little-endian bytes of the given width, by way of chunks that are remembered.
+    """Texts to ids as little-endian bytes of the given width: in one call, or by way of chunks that are remembered.
 
-    No token of byte-level BPE crosses from a chunk (white space and what follows it) to the next one, so the chunks'
-    ids joined are the text's. Where words stand after one blank or one line feed, no pattern is needed to find them."""
+    A text of Latin letters, numbers and marks whose words stand after one blank or one line feed is cut by PLAIN as the
+    tokenizer cuts it, and all its pieces are merged in one call, without remembering any. For others: no token of
+    byte-level BPE crosses from a chunk (white space and what follows it) to the next one, so the chunks' ids joined are
+    the text's. Where words stand after one blank or one line feed, no pattern is needed to find them."""
 
     def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -129,7 +116,14 @@ class ChunkEncoder:
         self.tokenizer, self.kind = Tokenizer.from_file(path), {2: "H", 4: "I"}[width]
         if array(self.kind).itemsize != width or sys.byteorder != "little":
             raise RuntimeError("little-endian arrays of the wanted width are needed")
-        self.merge = merger(path, self.tokenizer)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        cut = spec.get("pre_tokenizer") or {}
+        as_cut = spec.get("normalizer") is None and [cut.get(k) for k in ("type", "add_prefix_space", "use_regex")] == ["ByteLevel", False, True]
+        ranks = None if spec["model"].get("end_of_word_suffix") else ranks_of(spec)
+        self.merged = core_of(ranks, PLAIN) if ranks else None
+        self.at_once = as_cut and ranks is not None and max(ranks.values()) < 1 << 8 * width
+        self.merge = (lambda piece: memoryview(self.merged(piece)).cast("B").cast("I").tolist()) if ranks else merger(self.tokenizer)
         self.chunk_re = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks, self.words, self.chunks = (Cache(learn, CACHED) for learn in (self._whole, self._word, self._whole))
@@ -169,7 +163,13 @@ class ChunkEncoder:
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self._whole(text)
-        return self._by_words(text) if self._plain(text) else b"".join(map(self.chunks.__getitem__, self.chunk_re.findall(text)))
+        if not self._plain(text):
+            return b"".join(map(self.chunks.__getitem__, self.chunk_re.findall(text)))
+        return self._merged(text) if self.at_once and not OTHER.search(text) else self._by_words(text)
+
+    def _merged(self, text: str) -> bytes:
+        ids = self.merged(text)
+        return bytes(ids) if self.kind == "I" else np.frombuffer(ids, np.uint32).astype(np.uint16).tobytes()
 
 
 @lru_cache(2)

@@ -477,6 +477,24 @@ def test_words_merged_at_once_against_the_library(tmp_path):
     assert bpe.ranks_of(spec) is None
 
 
+def test_texts_merged_at_once_against_the_library(tmp_path):
+    """Of either width; a file that changes texts first goes by words, as do texts with other white space."""
+    from tokenizers import Tokenizer
+
+    texts, plain = latin_texts(), [prose(i, 50) + ",\nd\u00e9j\u00e0 VU! don't" for i in range(20)]
+    spec = json.loads(Path(BYTE).read_text())
+    spec["normalizer"] = {"type": "NFC"}
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec))
+    for path, width in ((BYTE, 2), (BYTE, 4), (str(other), 2)):
+        encoder, library = token_shards.ChunkEncoder(path, width), Tokenizer.from_file(path)
+        known = len(encoder.words)
+        assert [len(encoder.encode(t)) // width for t in plain] == [len(library.encode(t, add_special_tokens=False).ids) for t in plain]
+        assert (len(encoder.words) == known) == (path == BYTE)
+        got = [np.frombuffer(encoder.encode(t), f"<u{width}").tolist() for t in texts]
+        assert [t for t, x in zip(texts, got) if x != library.encode(t, add_special_tokens=False).ids] == []
+
+
 # 7: prediction by partial matching
 
 
